@@ -7,8 +7,8 @@ texts. A logistic regression over these is trained on the driver from a bounded
 hash of the id); a fifth of it is held out to set the threshold. Scoring covers every document and whole texts in one
 map without a shuffle: the model has at most ``max_features`` weights, whatever the size of the corpus.
 
-Defined results: a null, empty or letterless text scores 0 (the logit of the threshold) minus the margin of an empty
-text, is never toxic; rows are scored one by one, so repeated rows and null ids stay; without labelled rows of both
+Defined results: a null, empty or letterless text scores minus the size of the threshold,
+is never toxic; rows are scored one by one, so repeated rows and null ids stay; without labelled rows of both
 classes nothing is toxic and scores are null; other columns are ignored by ``score`` and kept by ``keep_clean``.
 """
 
@@ -32,10 +32,11 @@ class Params:
     orders: tuple[int, ...] = (3, 4, 5, 6, 7)
     bits: int = 22
     max_toxic: int = 1500
-    max_clean: int = 3000
-    max_chars: int = 12_000_000
+    max_clean: int = 2500
+    max_chars: int = 8_000_000
     max_features: int = 20_000
     min_docs: int = 4
+    prior: int = 300  # added to the number of n-grams of a text, so that a few words decide little
     alpha: float = 1.0
     ridge: float = 30.0
     steps: int = 150
@@ -50,15 +51,14 @@ class Model:
     held_out: tuple[int, int, int, int] = (0, 0, 0, 0)  # true and false positives, false and true negatives
 
 
-def features(texts: list[str], p: Params) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text its distinct n-gram buckets and their frequencies."""
-    out = []
-    for text in texts:
-        codes, starts, lengths = kernels.padded([text])
-        found = [np.uint64(k << p.bits) | b.astype(np.uint64) for k, (n, b) in enumerate(kernels.gram_buckets(codes, p.orders, p.bits))]
-        which, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        out.append((which, count / max(1, count.sum())))
-    return out
+def buckets_of(text: str, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-gram buckets of a text (order index << bits | bucket) and their frequencies."""
+    codes, _, _ = kernels.padded([text])
+    found = [b | np.uint32(k << p.bits) for k, (n, b) in enumerate(kernels.gram_buckets(codes, p.orders, p.bits))]
+    if not found:
+        return np.empty(0, np.uint32), np.empty(0)
+    which, count = np.unique(np.concatenate(found), return_counts=True)
+    return which, count / (count.sum() + p.prior)
 
 
 def fit(texts: list[str], toxic: list[int], p: Params = Params()) -> Model | None:
@@ -66,18 +66,18 @@ def fit(texts: list[str], toxic: list[int], p: Params = Params()) -> Model | Non
     y = np.asarray(toxic, bool)
     if y.all() or not y.any():
         return None
-    rows = features(texts, p)
     held = np.arange(len(y)) % 5 == 4
     if not (y[held].any() and not y[held].all() and y[~held].any() and not y[~held].all()):
         held[:] = False
     train = ~held
-    which = np.concatenate([r[0] for r in rows])
-    at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    value = np.concatenate([r[1] for r in rows])
-    kinds, column = np.unique(which, return_inverse=True)
-    used = train[at]
-    pos = np.bincount(column[used & y[at]], minlength=len(kinds)) + p.alpha
-    neg = np.bincount(column[used & ~y[at]], minlength=len(kinds)) + p.alpha
+    # two passes over the sample: document counts of all buckets, then the frequencies of the chosen ones
+    counts = np.zeros((2, len(p.orders) << p.bits), np.uint16)
+    for text, toxic_, used in zip(texts, y, train, strict=True):
+        if used:
+            counts[int(toxic_), buckets_of(text, p)[0]] += 1
+    seen = np.flatnonzero(counts.any(0))
+    neg, pos = counts[:, seen] + p.alpha
+    del counts
     ratio = np.log(pos / (y[train].sum() + 2 * p.alpha)) - np.log(neg / ((~y[train]).sum() + 2 * p.alpha))
     # the features whose ratio is least likely to be chance: ratio times the root of the document count
     rank = np.where(pos + neg - 2 * p.alpha >= min(p.min_docs, max(1, train.sum() // 20)), np.abs(ratio) * np.sqrt(pos + neg), 0)
@@ -86,24 +86,33 @@ def fit(texts: list[str], toxic: list[int], p: Params = Params()) -> Model | Non
         chosen = np.sort(chosen[np.argsort(-rank[chosen], kind="stable")[: p.max_features]])
     if not len(chosen):
         return None
-    new = np.full(len(kinds), -1)
-    new[chosen] = np.arange(len(chosen))
-    keep = new[column] >= 0
-    row, col, x = at[keep], new[column[keep]], value[keep] * ratio[column[keep]]
-    rms = np.sqrt(np.bincount(row, x * x, len(rows))[train].mean())
+    kinds, ratio = seen[chosen].astype(np.uint64), ratio[chosen]
+    new = np.full(len(p.orders) << p.bits, -1, np.int32)
+    new[kinds] = np.arange(len(kinds))
+    cols, values, sizes = [], [], []
+    for text in texts:
+        which, value = buckets_of(text, p)
+        c = new[which]
+        cols.append(c[c >= 0])
+        values.append(value[c >= 0])
+        sizes.append(len(cols[-1]))
+    del new
+    row, col = np.repeat(np.arange(len(texts)), sizes), np.concatenate(cols)
+    x = np.concatenate(values) * ratio[col]
+    rms = np.sqrt(np.bincount(row, x * x, len(texts))[train].mean())
     x = x / max(rms, 1e-12)
     share = np.where(y, 0.5 / y[train].sum(), 0.5 / (~y[train]).sum()) * train
     w, b = np.zeros(len(chosen)), 0.0
     speed, before = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, p.steps + 1):  # Adam over the whole sample
-        z = np.bincount(row, x * w[col], len(rows)) + b
+        z = np.bincount(row, x * w[col], len(texts)) + b
         err = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         grad = np.append(np.bincount(col, x * err[row], len(chosen)) + p.ridge * w / len(chosen), err.sum())
         before = 0.9 * before + 0.1 * grad
         speed = 0.99 * speed + 0.01 * grad * grad
         move = 0.1 * (before / (1 - 0.9**step)) / (np.sqrt(speed / (1 - 0.99**step)) + 1e-10)
         w, b = w - move[:-1], b - move[-1]
-    z = np.bincount(row, x * w[col], len(rows)) + b
+    z = np.bincount(row, x * w[col], len(texts)) + b
     # the threshold with the most right on the held-out rows, in the middle of the best interval; more false alarms weigh double
     judged = held if held.any() else train
     order = np.argsort(z[judged])
@@ -115,7 +124,7 @@ def fit(texts: list[str], toxic: list[int], p: Params = Params()) -> Model | Non
     said = z[judged] >= cutoff
     truth = y[judged]
     held_out = tuple(int(v.sum()) for v in (said & truth, said & ~truth, ~said & truth, ~said & ~truth)) if held.any() else (0, 0, 0, 0)
-    return Model(p, kinds[chosen], (w * ratio[chosen] / max(rms, 1e-12)).astype(np.float64), float(cutoff - b), held_out)
+    return Model(p, kinds, w * ratio / max(rms, 1e-12), float(cutoff - b), held_out)
 
 
 def sample(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[list[str], list[int]]:
@@ -160,7 +169,7 @@ def scorer(model: Model):
                 for t, (n, b) in zip(tables, kernels.gram_buckets(codes, p.orders, p.bits), strict=False):
                     total += kernels.sums_by_text(t[b], starts, lengths, n)
                     grams += np.maximum(0, lengths - n + 1)
-                out[i:j] = total / np.maximum(1, grams) - threshold
+                out[i:j] = total / (grams + p.prior) - threshold
             yield pd.Series(out)
 
     return F.pandas_udf(run, T.DoubleType())
