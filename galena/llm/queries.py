@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .near_dedup import op4_simhash
+from .decontamination import op10_decontamination
+from .mixing import op8_mixing
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op10_decontamination": op10_decontamination,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
