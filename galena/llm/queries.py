@@ -10,6 +10,8 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .near_dedup import op4_simhash
 from .decontamination import op10_decontamination
 from .mixing import op8_mixing
+from .lm_scoring import OP1_SQL, op1_lm_scoring
+from .chat import OP9_SQL, op9_chat
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,8 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op10_decontamination": op10_decontamination,
     "op8_mixing": op8_mixing,
+    "op1_lm_scoring": op1_lm_scoring,
+    "op9_chat": op9_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
+    "op1_lm_scoring": OP1_SQL,
+    "op9_chat": OP9_SQL,
 }
