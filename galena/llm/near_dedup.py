@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from .common import cut, small_side, table
 TAU = 15
 BOXES = 16
 WIDTH = 8
+#: Points in the memory of a task that thins out edges; beyond these it begins anew.
+FOREST_POINTS = 1_000_000
 
 
 def simhash(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +91,7 @@ def _chains(points: DataFrame, masks: list[int], suffix: str) -> DataFrame:
 
 
 def near_pairs(points: DataFrame) -> DataFrame:
-    """All pairs of the distinct fingerprints (point, hi, lo) within TAU: src < dst and their distance."""
+    """All pairs of the distinct fingerprints (point, hi, lo) within TAU, once or more: src < dst and their distance."""
     index = _chains(points, [0], "1")
     probe = _chains(points, [0, *(1 << k for k in range(WIDTH))], "2")
     a, b = F.col("a1").bitwiseXOR(F.col("a2")), F.col("b1").bitwiseXOR(F.col("b2"))
@@ -97,7 +100,35 @@ def near_pairs(points: DataFrame) -> DataFrame:
         near = near & (F.bit_count(F.shiftrightunsigned(a, 64 - WIDTH * chain)) <= chain * TAU // BOXES)
     distance = F.bit_count(a) + F.bit_count(b)
     found = index.join(probe, "key").where(near & (distance <= TAU))
-    return found.select(F.col("point1").alias("src"), F.col("point2").alias("dst"), distance.alias("distance")).distinct()
+    return found.select(F.col("point1").alias("src"), F.col("point2").alias("dst"), distance.alias("distance"))
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) with the same components, in each partition a spanning forest of its edges.
+
+    A family of n near copies has up to n * n pairs, but each partition passes on fewer edges than it has points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := above.setdefault(x, x)) != x:
+                above[x] = x = above[y]
+            return x
+
+        for b in batches:
+            src, dst = [], []
+            for x, y in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), strict=True):
+                if (p := root(x)) != (q := root(y)):
+                    above[max(p, q)] = min(p, q)
+                    src.append(x)
+                    dst.append(y)
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            if len(above) > FOREST_POINTS:
+                above.clear()
+
+    return edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).mapInArrow(run, "src bigint, dst bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -120,7 +151,7 @@ def groups(documents: DataFrame) -> DataFrame:
     found = cut(fingerprints(documents))
     points = cut(found.groupBy("hi", "lo").agg(F.min("doc_id").alias("point")))
     # a document whose rows have several fingerprints joins the groups of them all
-    edges = near_pairs(points).select("src", "dst").unionAll(found.join(points, ["hi", "lo"]).where("doc_id <> point").select(F.col("point").alias("src"), F.col("doc_id").alias("dst")))
+    edges = forest(near_pairs(points)).unionAll(found.join(points, ["hi", "lo"]).where("doc_id <> point").select(F.col("point").alias("src"), F.col("doc_id").alias("dst")))
     return components(edges).where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
 
 
