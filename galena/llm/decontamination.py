@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import fresh, table
+from .common import bounded, fresh, table
 
 
 @dataclass(frozen=True)
@@ -183,7 +183,7 @@ def parts(benchmark: DataFrame, p: Params = Params()) -> list[Windows]:
 
 def leaks(documents: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, item_id, n_windows and min_edits: each row of documents with each item that it leaks."""
-    source = documents.select("doc_id", "text")
+    source = bounded(documents).select("doc_id", "text")
     item_kind, doc_kind = benchmark.schema["item_id"].dataType.simpleString(), source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, n_windows int, min_edits int"
 
@@ -221,7 +221,7 @@ def leaking(found: Windows):
 
 def keep_unleaked(documents: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of documents that leak no item, with their columns."""
-    kept = documents
+    kept = bounded(documents)
     for found in parts(benchmark, p):
         name = fresh(kept.columns, "leaking")
         kept = kept.withColumn(name, leaking(found)(F.col("text"))).where(~F.col(name)).drop(name)

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, shared_dir, table
+from .common import bounded, fresh, shared_dir, table
 
 #: Bytes of distinct text in one table.
 BUDGET = 96 << 20
@@ -147,7 +147,7 @@ def grace(batches: Iterator[pa.RecordBatch], decide: Callable, text: str, key: s
 def _partitioned(documents: DataFrame, key: str) -> DataFrame:
     """By a hash of the text, each partition in id order; null texts are spread by their ids."""
     h = F.when(F.col("text").isNull(), F.xxhash64(F.lit(1), "doc_id")).otherwise(F.xxhash64("text"))
-    return documents.withColumn(key, h).repartition(F.col(key)).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
+    return bounded(documents).withColumn(key, h).repartition(F.col(key)).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
 
 
 def keep_first(documents: DataFrame, budget: int = BUDGET) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Characters handled at once. A longer text is a slice of its own, never cut.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 SPACE = 32
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import small_side, table
+from .common import bounded, small_side, table
 
 EXHAUSTIVE = 6
 
@@ -147,7 +147,7 @@ def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def margins(texts: list[str], model: Model) -> np.ndarray:
     p, out = model.params, np.zeros((len(texts), model.code.shape[1]))
-    for i, j in kernels.slices(texts, kernels.SLICE_CHARS // 4):
+    for i, j in kernels.slices(texts):
         codes, starts, lengths = kernels.padded(texts[i:j])
         total, grams = np.zeros((j - i, out.shape[1])), np.zeros(j - i)
         for k, (n, b) in enumerate(kernels.gram_buckets(codes, p.orders, p.bits)):
@@ -172,7 +172,7 @@ def identify(documents: DataFrame, p: Params = Params(), model: Model | None = N
         found = documents.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("gap"))
     else:
         worded = F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))
-        told = documents.select("doc_id", worded.alias("worded"), run("text").alias("told"))
+        told = bounded(documents).select("doc_id", worded.alias("worded"), run("text").alias("told"))
         found = told.select("doc_id", *(F.when(F.col("worded"), F.col(f"told.{c}")).alias(c) for c in ("language", "gap")))
     return found.select("doc_id", "language", F.round("gap", 6).alias("gap"), F.coalesce(F.col("gap") < p.gap, F.lit(True)).alias("ambiguous"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded, table
 
 NOTICES: dict[str, str] = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -118,7 +118,7 @@ def scan(documents: DataFrame, given: dict[str, str] = NOTICES, rate: float = RA
                 name, start, stop, edits = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(name), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(edits, pa.int32())], ["doc_id", "notice", "start", "stop", "edits"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, notice string, start int, stop int, edits int")
+    return bounded(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, notice string, start int, stop int, edits int")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import cut, small_side, table
+from .common import bounded, cut, small_side, table
 
 TAU = 15
 BOXES = 16
@@ -65,7 +65,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             found[~some] = pd.NA
             yield found
 
-    found = documents.where("doc_id is not null and text is not null").select("doc_id", run("text").alias("fp"))
+    found = bounded(documents).where("doc_id is not null and text is not null").select("doc_id", run("text").alias("fp"))
     return found.select("doc_id", "fp.hi", "fp.lo").where("hi is not null")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import fresh, small_side, table
+from .common import bounded, fresh, small_side, table
 
 
 @dataclass(frozen=True)
@@ -179,7 +179,7 @@ def with_score(documents: DataFrame, model: Model | None, name: str) -> DataFram
     if model is None:
         return documents.withColumn(name, F.lit(None).cast("double"))
     empty = F.col("text").isNull() | ~F.col("text").rlike(r"[\p{L}\p{N}]")
-    return documents.withColumn(name, F.when(empty, F.lit(-abs(model.threshold))).otherwise(scorer(model)(F.col("text"))))
+    return bounded(documents).withColumn(name, F.when(empty, F.lit(-abs(model.threshold))).otherwise(scorer(model)(F.col("text"))))
 
 
 def score(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:

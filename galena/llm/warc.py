@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import bounded, scratch, table
 
 DICTIONARY = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -178,7 +178,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
 
     spark = pages.sparkSession
-    pages.select("page_id", "url", "html").mapInArrow(run, "path string").write.parquet(f"{folder}-list")
+    bounded(pages).select("page_id", "url", "html").mapInArrow(run, "path string").write.parquet(f"{folder}-list")
     return spark.read.parquet(f"{folder}-list")
 
 
