@@ -4,11 +4,16 @@ A notice of m characters may differ in k = m * ``rate`` edits (at least one). By
 pieces of the notice then stands in the text unchanged. One automaton finds all pieces of all notices; around each the
 window in which a match may lie is marked, windows that touch are one, and in these the regex library's bounded-error
 matching (edits at most k, fit improved) verifies the notice and gives its span. As every match lies in a window with room
-for a whole match on either side, nothing is missed.
+for a whole match on either side, nothing is missed. The regex library is slow to find that a window has no match, so edit
+distances (Myers's bit vectors) first rule out windows without one.
 
 Text is searched as it is but for the case of ASCII letters, and each blank or line break is a space, so spans are those
 of the text: ``start`` and ``stop`` count characters from 0.
 
+Of Creative Commons the long names and the short ones are notices; a line that also names conditions has a row for each
+notice in it ("Licensed under CC BY-NC-SA" is cc-by-licensed, cc-by-nc and cc-by-nc-sa). A bare "CC BY" or "CC0" without a
+version, a condition or words of licensing is none: five letters or less stand in too many other texts.
+
 Defined results: null and empty texts have no match; matches of one notice don't overlap, those of several may; rows are
 searched one by one, so repeated rows and null ids stay; a notice shorter than ``SHORTEST`` characters must match exactly;
 other columns are ignored.
@@ -36,6 +41,19 @@ NOTICES: dict[str, str] = {
     "lgpl": "GNU Lesser General Public License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License",
     "cc": "Creative Commons Attribution",
+    "cc-by-licensed": "Licensed under CC BY",
+    "cc-by-available": "available under CC BY",
+    "cc-by-field": "License: CC BY",
+    "cc-by-license": "CC BY license",
+    "cc-by-nc-sa": "CC BY-NC-SA",
+    "cc-by-nc-nd": "CC BY-NC-ND",
+    **{f"cc-by-{t}": f"CC BY-{t.upper()}" for t in ("sa", "nc", "nd")},
+    **{f"cc-by-{t}-id": f"CC-BY-{t.upper()}" for t in ("sa", "nc", "nd")},
+    **{f"cc-by-{v}": f"CC BY {v}" for v in ("1.0", "2.0", "2.5", "3.0", "4.0")},
+    **{f"cc-by-{v}-id": f"CC-BY-{v}" for v in ("1.0", "2.0", "2.5", "3.0", "4.0")},
+    "cc0": "Creative Commons Zero",
+    "cc0-under": "under CC0",
+    "cc0-1.0": "CC0 1.0 Universal",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "All rights reserved",
@@ -59,9 +77,35 @@ def notices(given: dict[str, str] = NOTICES, rate: float = RATE) -> list[Notice]
     return [Notice(k, v, max(1, int(rate * len(v))) if len(v) >= SHORTEST else 0) for k, v in plain.items()]
 
 
+def letters(pattern: str) -> dict[str, int]:
+    """Of each letter of the pattern a number with the bits of its places."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def within(places: dict[str, int], length: int, edits: int, text: str) -> bool:
+    """Whether a part of the text is at most ``edits`` from the pattern of these ``letters``, by Myers's bit vectors."""
+    full, high = (1 << length) - 1, 1 << (length - 1)
+    more, less, score = full, 0, length
+    for c in text:
+        same = places.get(c, 0)
+        down = same | less
+        flat = ((same & more) + more ^ more) | same
+        up, drop = less | ~(flat | more) & full, more & flat
+        score += bool(up & high) - bool(drop & high)
+        if score <= edits:
+            return True
+        up, drop = up << 1 & full, drop << 1 & full
+        more, less = drop | ~(down | up) & full, up & down
+    return False
+
+
 class Searcher:
     def __init__(self, wanted: list[Notice]) -> None:
         self.wanted = wanted
+        self.places = [letters(n.text) for n in wanted]
         self.patterns = [regex.compile(f"(?e)(?:{regex.escape(n.text, special_only=True)}){{e<={n.edits}}}") for n in wanted]
         self.seeds = ahocorasick.Automaton()
         pieces: dict[str, list[tuple[int, int]]] = {}
@@ -96,8 +140,11 @@ class Searcher:
         """Notice, start, stop and edits of each match."""
         plain, out = text.translate(PLAIN), []
         for k, begin, stop in self.windows(plain):
+            n = self.wanted[k]
+            if not within(self.places[k], len(n.text), n.edits, plain[begin:stop]):
+                continue
             for m in self.patterns[k].finditer(plain, begin, min(stop, len(plain))):
-                out.append((self.wanted[k].name, m.start(), m.end(), sum(m.fuzzy_counts)))
+                out.append((n.name, m.start(), m.end(), sum(m.fuzzy_counts)))
         return sorted(out, key=lambda r: (r[1], r[2], r[0]))
 
 

@@ -123,6 +123,21 @@ def test_notices_are_those_of_a_search_without_seeds(spark, docs, prose):
     assert licenses.scan(docs([])).count() == 0
 
 
+def test_every_license_line_of_the_documents_is_found(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").collect()]
+    lines = {x for t in texts for x in t.split("\n") if regex.search(r"(?i)licen[sc]e|rights reserved", x)}
+    assert "Licensed under CC BY-NC 4.0." in lines and len(lines) >= 5
+    searcher = licenses.Searcher(licenses.notices())
+    assert [x for x in lines if not searcher.search(x)] == []
+    names = lambda t: {r[0] for r in searcher.search(t)}
+    for terms in ("BY 4.0", "BY-SA 3.0", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND", "0 1.0"):
+        short = "CC0 1.0" if terms == "0 1.0" else f"CC {terms}"
+        assert names(f"Licensed under {short}.") and names(f"This page is available under {short.replace(' BY', '-BY')}"), terms
+    assert "cc-by-nc" in names("Licensed under CC BY-NC 4.0.") and not any(n.startswith("cc0") for n in names("Licensed under CC BY-NC 4.0."))
+    assert not any(n.startswith("cc-by") for n in names("Licensed under CC0."))
+    assert not names("access by road, 1fcc0a9")
+
+
 def test_languages_of_held_out_documents(spark, docs, prose):
     syllables = {"aa": "ka lo mer ti sun", "bb": "ka zu mer xi wob", "cc": "dra vel lo po ni", "dd": "qua wob sun ni ti"}
     rng, rows, truth = prose.rng, [], {}
