@@ -1,15 +1,18 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping windows of ``window`` characters (an item that is shorter is one window). A text
+Benchmark items are cut into windows of ``window`` characters that start ``step`` apart and at the end (an item that is
+shorter is one window). A part of an item as long as a window starts at most step // 2 from one, so that any such part, and
+so any longer one, is found with up to budget - step // 2 edits of its own (6 of 100 characters); shorter parts of a longer
+item need not be. A text
 leaks an item if some part of it is within ``rate`` edits a character of one of the item's windows, both in lower case with
 every run of other characters than letters and digits as one space. By the q-gram lemma a part within e edits of a window
 of w characters shares at least w + 1 - q (e + 1) of its q-grams, on at most e + 1 neighbouring diagonals. So the shared
 q-grams of every text are counted in diagonal bands of 2 (e + 1), each overlapping the next by half, one of which holds all
 these diagonals; the bands that meet the bound are verified by an alignment restricted to the band. No part within the
-budget is missed. e is at most w // q - 1, so that the bound is at least one.
+budget of a window is missed. Bands are counted over shares of a text that overlap by more than a band, which bounds memory. e is at most w // q - 1, so that the bound is at least one.
 
-Texts are scanned in one map without a shuffle. The windows go to the tasks; of a benchmark of more than ``part_chars``
-characters one part goes at a time and the texts are scanned once for each.
+Texts are scanned in one map without a shuffle. The windows go to the tasks; of a benchmark whose windows have more than
+2 * ``part_chars`` characters together one part goes at a time and the texts are scanned once for each.
 
 Defined results: null and empty texts leak nothing; null items and items of fewer than q characters are no evidence; rows
 are judged one by one, so repeated rows and null ids stay; an item that occurs in several rows counts under each of its
@@ -37,13 +40,14 @@ from .common import bounded, fresh, table
 class Params:
     q: int = 10
     window: int = 100
-    step: int = 50
+    step: int = 5
     rate: float = 0.08
     part_chars: int = 4_000_000
 
 
 TABLE_BITS = 24
 AT_ONCE = 4096
+ENTRIES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -114,6 +118,30 @@ class Scanner:
         self.known = np.zeros(1 << TABLE_BITS, bool)
         self.known[self.kinds] = True
 
+    def shares(self, at: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of places with about ``ENTRIES`` entries of the windows each; every band lies wholly in one of them."""
+        reach = int((self.length + 2 * self.edits + 2).max())
+        upto = np.cumsum(self.count[np.searchsorted(self.kinds, b[at])])
+        i = 0
+        while True:
+            j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + ENTRIES, "right"))
+            j = max(j, int(np.searchsorted(at, at[i] + 2 * reach)))
+            yield i, min(j, len(at))
+            if j >= len(at):
+                return
+            i = int(np.searchsorted(at, at[j - 1] + 1 - reach))
+
+    def bands(self, at: np.ndarray, doc: np.ndarray, b: np.ndarray, starts: np.ndarray, shift: int, many: int) -> np.ndarray:
+        """The bands that meet the bound, as numbers of text, window and band."""
+        kind = np.searchsorted(self.kinds, b[at])
+        times = self.count[kind]
+        entry = np.repeat(self.first[kind] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        at, doc, win = np.repeat(at, times), np.repeat(doc, times), self.owner[entry]
+        band = (at - starts[doc] - self.place[entry] + shift) // (self.edits[win] + 1)
+        key = (doc * len(self.length) + win) * many + band
+        key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        return key[count >= self.least[key // many % len(self.length)]]
+
     def scan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, item, windows found and least edits, of each pair of a text and an item that it leaks."""
         none = (np.empty(0, np.int64),) * 4
@@ -136,20 +164,11 @@ class Scanner:
         at, doc = at[near], doc[near]
         if not len(at):
             return none
-        kind = np.searchsorted(self.kinds, b[at])
-        times = self.count[kind]
-        entry = np.repeat(self.first[kind] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-        at, doc, win = np.repeat(at, times), np.repeat(doc, times), self.owner[entry]
         shift = 2 * int(self.length.max())
-        step = self.edits[win] + 1
-        band = (at - starts[doc] - self.place[entry] + shift) // step
-        many = int(band.max()) + 2
-        key = (doc * len(self.length) + win) * many + band
-        key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        many = int(lengths.max()) + shift + 2
+        key = np.unique(np.concatenate([self.bands(at[i:j], doc[i:j], b, starts, shift, many) for i, j in self.shares(at, b)]))
         pair, band = key // many, key % many
         doc, win = pair // len(self.length), pair % len(self.length)
-        enough = count >= self.least[win]
-        doc, win, band = doc[enough], win[enough], band[enough]
         good, cost = np.zeros(len(doc), bool), np.zeros(len(doc), np.int64)
         for w in np.unique(self.length[win]):
             mine = np.flatnonzero(self.length[win] == w)
@@ -171,12 +190,13 @@ class Scanner:
 
 def parts(benchmark: DataFrame, p: Params = Params()) -> list[Windows]:
     out, chars, items = [], 0, []
+    held = lambda text: max(len(text), len(text) * p.window // (2 * p.step))
     for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        if items and chars + len(r.text) > p.part_chars:
+        if items and chars + held(r.text) > p.part_chars:
             out.append(windows(items, p))
             chars, items = 0, []
         items.append((r.item_id, r.text))
-        chars += len(r.text)
+        chars += held(r.text)
     out.append(windows(items, p))
     return [w for w in out if len(w.texts)]
 

@@ -104,6 +104,22 @@ def test_leaks_are_those_of_brute_force(spark, docs, prose):
     assert decontamination.leaks(frame.limit(0), bench).count() == 0
 
 
+def test_every_part_as_long_as_a_window_is_found(prose, monkeypatch):
+    item, other = prose.text(60), prose.text(40)
+    scanner = decontamination.Scanner(decontamination.windows([(1, item), (2, other)]))
+    parts = [item[s : s + 100] for s in range(len(item) - 99)]
+    assert len(parts) > 200
+    around = [f"qxj zzk {x} wwy jjq" for x in parts]
+    whole = scanner.scan(around)
+    assert set(whole[0].tolist()) == set(range(len(parts)))
+    # a text's bands are the same when counted in many shares
+    long = [" ".join(around[::40] + [other] * 3)]
+    want = [x.tolist() for x in scanner.scan(long)]
+    monkeypatch.setattr(decontamination, "ENTRIES", 50)
+    assert [x.tolist() for x in scanner.scan(long)] == want and want[1] == [0, 1]
+    assert [x.tolist() for x in scanner.scan(around)] == [x.tolist() for x in whole]
+
+
 def test_notices_are_those_of_a_search_without_seeds(spark, docs, prose):
     rng, wanted = prose.rng, licenses.notices()
     letters = "abcdefghij lnrst"
