@@ -96,7 +96,7 @@ def impact(nodes: DataFrame, edges: DataFrame, start: str | int, depth: int = 3,
             ids, some, over = _drill(nodes, links, layer, fresh, below, visited, cap)
             truncated = truncated or over
             layer = spark.createDataFrame([(i,) for i in ids], f"id {kind}")
-            found += [step, links.where(F.col("edge_id").isin(some)) if some else links.limit(0)]
+            found += [step, some.select(links.columns)]
         new = cut(layer.join(small_side(visited.select("id")), "id", "left_anti").select("id", F.lit(d).alias("depth")))
         if new.isEmpty():
             break
@@ -108,41 +108,48 @@ def impact(nodes: DataFrame, edges: DataFrame, start: str | int, depth: int = 3,
     return Walk(visited, distinct_edges(every), truncated)
 
 
-def _drill(nodes: DataFrame, links: DataFrame, layer: DataFrame, fresh: DataFrame, below: DataFrame, visited: DataFrame, cap: int) -> tuple[list, list, bool]:
-    """The capped drill-down, whose order decides: on the driver, over the first ``cap`` of everything it can take in."""
+def _drill(nodes: DataFrame, links: DataFrame, layer: DataFrame, fresh: DataFrame, below: DataFrame, visited: DataFrame, cap: int) -> tuple[list, DataFrame, bool]:
+    """The capped drill-down, whose order decides: on the driver, over what can take room, which ``cap`` bounds.
+
+    Edges from nodes that are visited or in the layer take none and all come with their sibling."""
     size = layer.count()
     order = lambda df, c: df.join(nodes.select(F.col("id").alias(c), "start_line"), c, "left")
     have = {r.id for r in layer.collect()}
     if size >= cap:
-        return list(have), [], not below.join(layer.withColumnRenamed("id", "sibling"), "sibling", "left_anti").join(small_side(visited.select(F.col("id").alias("sibling"))), "sibling", "left_anti").isEmpty()
-    seen = {r.id for r in visited.collect()}
-    pairs = order(below, "sibling").orderBy("id", "start_line", "sibling").limit(cap * cap + cap).collect()
-    known = {r.sibling for r in pairs}
+        return list(have), links.limit(0), not below.join(layer.withColumnRenamed("id", "sibling"), "sibling", "left_anti").join(small_side(visited.select(F.col("id").alias("sibling"))), "sibling", "left_anti").isEmpty()
+    # a sibling counts where it comes first; of those not visited at most cap + 1 are new and fewer than cap are of the layer
+    other = order(below, "sibling").join(small_side(visited.select(F.col("id").alias("sibling"))), "sibling", "left_anti")
+    first = other.groupBy("sibling").agg(F.min(F.struct("id", "start_line", "sibling")).alias("first"))
+    known = [r.sibling for r in first.orderBy("first").limit(2 * cap + 1).collect()]
     callers: dict = {}
-    some = links.sparkSession.createDataFrame([(x,) for x in known], f"target {links.schema['target'].dataType.simpleString()}") if known else None
-    if some is not None:
-        place = F.row_number().over(W.partitionBy("target").orderBy("edge_id"))
-        for r in links.join(F.broadcast(some), "target", "left_semi").withColumn("place", place).where(F.col("place") <= cap + 1).collect():
+    if known:
+        some = links.sparkSession.createDataFrame([(x,) for x in known], f"target {links.schema['target'].dataType.simpleString()}")
+        # only sources that are new take room: the first edges of the first cap + 1 of them decide, whatever lies between
+        new = links.join(F.broadcast(some), "target", "left_semi")
+        for there in (visited, layer):
+            new = new.join(small_side(there.select(F.col("id").alias("source"))), "source", "left_anti")
+        place = F.row_number().over(W.partitionBy("target").orderBy("edge_id", "source"))
+        new = new.groupBy("target", "source").agg(F.min("edge_id").alias("edge_id")).withColumn("place", place)
+        for r in new.where(F.col("place") <= cap + 1).collect():
             callers.setdefault(r.target, []).append((r.edge_id, r.source))
-    edges, over = [], False
-    for r in pairs:
-        if r.sibling in seen:
-            continue
-        if r.sibling not in have:
+    whole, part, over = [], F.lit(False), False
+    for sibling in known:
+        if sibling not in have:
             if len(have) >= cap:
                 over = True
                 break
-            have.add(r.sibling)
-        for edge, source in sorted(callers.get(r.sibling, [])):
-            if source not in have and source not in seen:
+            have.add(sibling)
+        for edge, source in sorted(callers.get(sibling, [])):
+            if source not in have:
                 if len(have) >= cap:
                     over = True
+                    part = (F.col("target") == sibling) & ((F.col("edge_id") < edge) | ((F.col("edge_id") == edge) & (F.col("source") < source)))
                     break
                 have.add(source)
-            edges.append(edge)
         if over:
             break
-    return list(have), edges, over
+        whole.append(sibling)
+    return list(have), links.where(F.col("target").isin(whole) | part), over
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

@@ -76,6 +76,19 @@ def test_impact_drills_down_into_scopes(spark):
     assert graph.impact(big, e, "k00", 1).truncated
 
 
+def test_capped_impact_reads_past_many_lines_of_one_caller(spark):
+    n = nodes(spark, [("m", "m", "C::m", "f"), ("r", "r", "D::r", "g"), ("s", "s", "D::s", "g"), ("u", "u", "u", "h"), ("v", "v", "v", "h")])
+    # r calls m; the callers of its sibling s: u and the visited m on many lines, then v
+    pairs = [("r", "m")] + [("u", "s")] * 60 + [("m", "s")] * 60 + [("v", "s")]
+    w = graph.impact(n, edges(spark, pairs), "m", 1)
+    assert {r.id: r.depth for r in w.nodes.collect()} == {"m": 0, "r": 1, "s": 1, "u": 1, "v": 1}
+    assert not w.truncated and w.edges.count() == len(pairs)
+    # the layer has m (its own sibling) and r, so there is room for s and one caller: the edges before the first of the next one stay
+    cut = graph.impact(n, edges(spark, [*pairs, ("u", "s")]), "m", 1, 4)
+    assert cut.truncated and {r.id for r in cut.nodes.collect()} == {"m", "r", "s", "u"}
+    assert cut.edges.count() == len(pairs) - 1
+
+
 def test_pagerank(spark):
     four = nodes(spark, [(x, x if x != "p" else "_p", x, "f") for x in "abcp"])
     none = rank.pagerank(four, edges(spark, [("a", "zz")]))
