@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 
@@ -18,6 +19,12 @@ def alnum_table() -> np.ndarray:
     return np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000)
 
 
+@lru_cache(1)
+def letter_table() -> np.ndarray:
+    """By code point: whether it is a letter."""
+    return np.fromiter((category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+
+
 def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``most`` characters together."""
     first, chars = 0, 0
@@ -45,10 +52,10 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each run of letters and digits, without case: the index of its text and a 64-bit hash."""
+def words(texts: list[str], kinds: Callable[[], np.ndarray] = alnum_table) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of letters and digits (of other characters with another table), without case: the index of its text and a 64-bit hash."""
     joined = codes("\n".join(texts).lower())
-    inside = alnum_table()[joined]
+    inside = kinds()[joined]
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):

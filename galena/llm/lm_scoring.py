@@ -1,109 +1,186 @@
 """Cross-entropy difference between matched target and background bigram models.
 
 The target text is that of the documents labelled as good, the background text that of all documents. Both models share
-one vocabulary, the words that make up at least ``word_share`` of the background and occur twice (others are one unknown
-word), and one inventory of bigrams, those of words of the vocabulary that make up at least ``pair_share`` of the target
-and occur there twice. Words are runs of letters in lower case. In either model m a bigram of the inventory has
-P(w|h) = (c_m(hw) - D) / c_m(h); another backs off to alpha_m(h) (c_m(w) + 1) / (N_m + |V| + 1), where alpha_m(h) gives
-the histories of the inventory what their bigrams leave. A document's score is the mean, over its words, of
--ln P_target(w|h) + ln P_background(w|h): the lower, the more it is like the target.
-
-Counts come from all documents. As both thresholds are shares, the vocabulary has at most 1 / word_share words and the
-inventory 1 / pair_share bigrams whatever the size of the corpus, so that both are broadcast; the counts themselves grow
-with the corpus and are aggregated by shuffles with partial sums, and texts are never shuffled.
+one vocabulary, every word of the background; words are runs of letters in lower case. In model m with counts c_m,
+P(w|h) = max(0, c_m(hw) - D) / c_m(h) + lambda_m(h) (c_m(w) + 1) / (N_m + |V|), where a bigram counts only from
+``least`` = 2 occurrences in the model's own text on (one alone may be the scored document's own), c_m(h) is how often h
+is followed by a word, and lambda_m(h) is what the bigrams of h leave, so that the shares of all words after h are one. A
+document's score is the mean, over its words, of -ln P_target(w|h) + ln P_background(w|h): the lower, the more it is like
+the target.
+
+All counts are of all documents, and no model has a bound on its size: it grows with the corpus and is never broadcast
+or collected. Texts are read once and written as blocks of word codes (``BLOCK_CHARS`` characters, a longer text is a block
+of its own) with the distinct words of the block. A word or bigram is one row a block, however often it stands there, so
+the rows of the most frequent one are as many as the blocks. One shuffle brings the rows of a bigram together, a window
+adds up its counts, and a second takes them back to their blocks; the words go the same way. Words are told apart by 64-bit
+hashes of their characters.
 
 Defined results: null texts and texts without letters have no words and null losses and score; rows are scored one by one,
 so repeated rows and null ids stay; labels of a null id count for nothing and repeated ones as their best; without a
-target word all scores follow from add-one counts; other columns are ignored.
+target word the target model has add-one shares only; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, small_side, table
+from . import kernels
+from .common import bounded, cut, scratch, small_side, table
 
-START = "<s>"
+#: What stands before the first word of a text, as a word hash.
+START = np.uint64(0x5EED)
+BLOCK_CHARS = 16 << 20
+#: Rows that go from Python to Spark at once.
+ROWS = 1 << 18
 
 
 @dataclass(frozen=True)
 class Params:
-    word_share: float = 1e-5
-    pair_share: float = 5e-6
+    least: int = 2
     discount: float = 0.5
 
 
-def words(text: Column) -> Column:
-    return F.coalesce(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""), F.array().cast("array<string>"))
-
-
-def _pairs(texts: DataFrame, *keep: str) -> DataFrame:
-    """h and w for each word; one more row a text, with a null w."""
-    zipped = F.explode(F.arrays_zip(F.concat(F.array(F.lit(START)), F.col("words")).alias("h"), F.col("words").alias("w")))
-    return texts.select(*keep, zipped.alias("p")).select(*keep, F.col("p.h").alias("h"), F.col("p.w").alias("w"))
-
-
-@dataclass(frozen=True)
-class Model:
-    vocabulary: DataFrame  # id, word, ut, ub (-ln of the unigram shares), at, ab (-ln of the back-off weights)
-    pairs: DataFrame  # h, w, bt, bb (-ln of the bigram shares)
-    unknown: tuple[float, float]
-
+def blocks(documents: DataFrame, labels: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The written table of word codes: a row a block of documents.
 
-def fit(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
+    block, doc_ids, good and sizes (by document: whether it is labelled so, its words), words (hashes, that of the start
+    first), t, b, ht and hb (by word: how often it stands in the target and the background, and before a word in them) and
+    tokens (32-bit places in ``words``, document after document)."""
     spark = documents.sparkSession
+    kind = documents.schema["doc_id"].dataType.simpleString()
     good = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    source = documents.where("text is not null").select("doc_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    source = source.join(small_side(good), F.col("doc_id") == F.col("good_id"), "left")
-    source = source.select(F.col("good_id").isNotNull().cast("bigint").alias("good"), "words")
-
-    # the start of a text is counted among the words: it is the history of the first
-    said = source.select("good", F.explode(F.concat(F.array(F.lit(START)), F.col("words"))).alias("word"))
-    counts = cut(said.groupBy("word").agg(F.sum("good").alias("t"), F.count("*").alias("b")))
-    n = counts.where(F.col("word") != START).agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
-    known = counts.where((F.col("word") == START) | ((F.col("b") >= 2) & (F.col("b") >= p.word_share * n.b)))
-    # at most 1 / word_share words
-    listed = known.orderBy(F.col("word") != START, "word").collect()
-    schema = T.StructType.fromDDL("id int, word string, t bigint, b bigint")
-    vocabulary = F.broadcast(spark.createDataFrame([(i, r.word, r.t, r.b) for i, r in enumerate(listed)], schema))
-    size = sum(r.word != START for r in listed)
-
-    ids = vocabulary.select("id", "word")
-    seen = _pairs(source, "good").where("w is not null")
-    seen = seen.join(F.broadcast(ids.toDF("wid", "w")).where(F.col("w") != START), "w").join(F.broadcast(ids.toDF("hid", "h")), "h")
-    pairs = seen.groupBy("hid", "wid").agg(F.sum("good").alias("ct"), F.count("*").alias("cb"))
-    pairs = cut(pairs.where((F.col("ct") >= 2) & (F.col("ct") >= p.pair_share * n.t)))
-
-    share = {m: (F.col(m) + 1) / F.lit(float(n[m] + size + 1)) for m in "tb"}
-    uni = vocabulary.withColumns({f"p{m}": share[m] for m in "tb"})
-    full = pairs.join(F.broadcast(uni.select(F.col("id").alias("wid"), "pt", "pb")), "wid").join(F.broadcast(uni.select(F.col("id").alias("hid"), "t", "b")), "hid")
-    full = full.withColumns({f"q{m}": (F.col(f"c{m}") - p.discount) / F.col(m) for m in "tb"})
-    left = full.groupBy("hid").agg(*(((1 - F.sum(f"q{m}")) / (1 - F.sum(f"p{m}"))).alias(f"alpha{m}") for m in "tb"))
-    vocabulary = uni.join(left.withColumnRenamed("hid", "id"), "id", "left")
-    vocabulary = vocabulary.select("id", "word", *((-F.log(f"p{m}")).alias(f"u{m}") for m in "tb"), *((-F.log(F.coalesce(f"alpha{m}", F.lit(1.0)))).alias(f"a{m}") for m in "tb"))
-    bigrams = full.select("hid", "wid", *((-F.log(f"q{m}")).alias(f"b{m}") for m in "tb"))
-    rest = {m: n[m] - sum(r[m] for r in listed if r.word != START) for m in "tb"}
-    unknown = tuple(-math.log((rest[m] + 1) / (n[m] + size + 1)) for m in "tb")
-    return Model(cut(vocabulary), cut(bigrams), unknown)
-
-
-def score(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    source = bounded(documents).select("doc_id", "text").join(small_side(good), F.col("doc_id") == F.col("good_id"), "left")
+    source = source.select("doc_id", "text", F.col("good_id").isNotNull().alias("good"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, flags, sizes, hashes, chars = [], [], [], [], 0
+        for b in batches:
+            texts = b.column("text").fill_null("").to_pylist()
+            for i, j in kernels.slices(texts):
+                at, found = kernels.words(texts[i:j], kernels.letter_table)
+                ids.append(b.column("doc_id").slice(i, j - i))
+                flags.append(b.column("good").slice(i, j - i))
+                sizes.append(np.bincount(at, minlength=j - i))
+                hashes.append(found)
+                chars += sum(map(len, texts[i:j]))
+                if chars >= block_chars:
+                    yield block(ids, flags, sizes, hashes)
+                    ids, flags, sizes, hashes, chars = [], [], [], [], 0
+        if ids:
+            yield block(ids, flags, sizes, hashes)
+
+    counts = ", ".join(f"{c} array<int>" for c in ("t", "b", "ht", "hb"))
+    made = source.mapInArrow(run, f"doc_ids array<{kind}>, good array<boolean>, sizes array<int>, words array<bigint>, {counts}, tokens binary")
+    made.withColumn("block", F.monotonically_increasing_id()).write.parquet(path := scratch(spark, "lm-blocks"))
+    return spark.read.parquet(path)
+
+
+def block(ids: list, flags: list, sizes: list, hashes: list) -> pa.RecordBatch:
+    said = np.concatenate([np.array([START]), *hashes])
+    tokens, words = pd.factorize(said)
+    tokens = tokens[1:].astype(np.int32)
+    size = np.concatenate(sizes)
+    good = pa.concat_arrays(flags)
+    mine = np.repeat(good.to_numpy(zero_copy_only=False), size)
+    before = histories(tokens, size)
+    t, b, ht, hb = (np.bincount(x, minlength=len(words)).astype(np.int32) for x in (tokens[mine], tokens, before[mine], before))
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    lists = [pa.concat_arrays(ids), good, pa.array(size.astype(np.int32)), pa.array(words.view(np.int64)), *map(pa.array, (t, b, ht, hb))]
+    return pa.RecordBatch.from_arrays([*map(one, lists), pa.array([tokens.tobytes()], pa.binary())], ["doc_ids", "good", "sizes", "words", "t", "b", "ht", "hb", "tokens"])
+
+
+def histories(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The code before each; 0, the start, before the first of a document."""
+    out = np.zeros(len(tokens), np.int64)
+    out[1:] = tokens[:-1]
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out[first] = 0
+    return out
+
+
+def bigrams(tokens: np.ndarray, sizes: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token the place of its bigram among the distinct ones, and those as history * n_words + word."""
+    return pd.factorize(histories(tokens, sizes) * n_words + tokens)
+
+
+def pair_rows(made: DataFrame) -> DataFrame:
+    """pair, h, block, place, t and b of the distinct bigrams of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                words = b.column("words")[k].values.to_numpy().view(np.uint64)
+                sizes = b.column("sizes")[k].values.to_numpy()
+                good = np.repeat(b.column("good")[k].values.to_numpy(zero_copy_only=False), sizes)
+                at, pairs = bigrams(np.frombuffer(b.column("tokens")[k].as_buffer(), np.int32), sizes, len(words))
+                h, w = words[pairs // len(words)], words[pairs % len(words)]
+                key = kernels.mix64(h * np.uint64(0x9E3779B97F4A7C15) + kernels.mix64(w)).view(np.int64)
+                number = b.column("block")[k].as_py()
+                t, n = (np.bincount(x, minlength=len(pairs)).astype(np.int32) for x in (at[good], at))
+                h = h.view(np.int64)
+                for i in range(0, len(pairs), ROWS):
+                    j = min(len(pairs), i + ROWS)
+                    columns = [key[i:j], h[i:j], np.full(j - i, number), np.arange(i, j, dtype=np.int32), t[i:j], n[i:j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pair", "h", "block", "place", "t", "b"])
+
+    return made.select("block", "words", "sizes", "good", "tokens").mapInArrow(run, "pair bigint, h bigint, block bigint, place int, t int, b int")
+
+
+def score(documents: DataFrame, labels: DataFrame, p: Params = Params(), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score of every row of documents."""
-    model = fit(documents, labels, p)
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("words"))
-    v = model.vocabulary
-    found = _pairs(rows, "row", "doc_id")
-    found = found.join(F.broadcast(v.where(F.col("word") != START).select(F.col("word").alias("w"), F.col("id").alias("wid"), "ut", "ub")), "w", "left")
-    found = found.join(F.broadcast(v.select(F.col("word").alias("h"), F.col("id").alias("hid"), "at", "ab")), "h", "left")
-    found = found.join(F.broadcast(model.pairs), ["hid", "wid"], "left")
-    loss = {m: F.coalesce(f"b{m}", F.coalesce(f"a{m}", F.lit(0.0)) + F.coalesce(f"u{m}", F.lit(x))) for m, x in zip("tb", model.unknown, strict=True)}
-    means = {m: F.avg(F.when(F.col("w").isNotNull(), loss[m])) for m in "tb"}
-    out = found.groupBy("row", "doc_id").agg(F.count("w").alias("n_tokens"), means["t"].alias("t"), means["b"].alias("b"))
+    made = blocks(documents, labels, block_chars)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    columns = ("t", "b", "ht", "hb")
+    start = int(START)
+    words = made.select(F.explode(F.arrays_zip("words", *columns)).alias("w")).groupBy(F.col("w.words").alias("word"))
+    words = cut(words.agg(*(F.sum(f"w.{c}").alias(c) for c in columns)))
+    n = words.where(F.col("word") != start).agg(F.count("*").alias("v"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "tb")).first()
+
+    same = W.partitionBy("pair")
+    summed = pair_rows(made).withColumns({"ct": F.sum("t").over(same), "cb": F.sum("b").over(same), "once": F.min("block").over(same) == F.col("block")})
+    summed = summed.where(F.col("cb") >= p.least)
+    kept = {m: F.when(F.col(f"c{m}") >= p.least, F.col(f"c{m}") - p.discount) for m in "tb"}
+    taken = summed.where("once").groupBy(F.col("h").alias("word")).agg(*(F.sum(kept[m]).alias(f"s{m}") for m in "tb"))
+    # of each word -> shares of the unigram and, as history, counts and what its bigrams leave
+    left = {m: F.when(F.col(f"h{m}") > 0, 1 - F.coalesce(f"s{m}", F.lit(0.0)) / F.col(f"h{m}")).otherwise(1.0) for m in "tb"}
+    share = {m: (F.col(m) + 1) / F.lit(float(max(1, n[m] + n.v))) for m in "tb"}
+    values = words.join(taken, "word", "left").select("word", *(share[m].alias(f"u{m}") for m in "tb"), *(left[m].alias(f"l{m}") for m in "tb"), "ht", "hb")
+    fields = ("ut", "ub", "lt", "lb", "ht", "hb")
+    asked = made.select("block", F.posexplode("words").alias("place", "word")).join(values, "word")
+    asked = asked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", *(F.col(f).cast("double").alias(f) for f in fields)))).alias("v"))
+    told = made.select("block", "doc_ids", "sizes", "tokens").join(asked.select("block", *(F.col(f"v.{f}").alias(f) for f in fields)), "block")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = {c: left.column(c)[0] for c in left.column_names}
+        sizes, tokens = row["sizes"].values.to_numpy(), np.frombuffer(row["tokens"].as_buffer(), np.int32)
+        at, pairs = bigrams(tokens, sizes, len(row["ut"].values))
+        h = pairs // len(row["ut"].values)
+        w = pairs - h * len(row["ut"].values)
+        which = right.column("place").to_numpy()
+        losses = []
+        for m in "tb":
+            uni, rest, seen = (row[c + m].values.to_numpy() for c in "ulh")
+            count = np.zeros(len(pairs))
+            count[which] = right.column(f"c{m}").to_numpy()
+            share = rest[h] * uni[w] + np.where(count >= p.least, count - p.discount, 0) / np.maximum(seen[h], 1)
+            losses.append(-np.log(share)[at])
+        whose = np.repeat(np.arange(len(sizes)), sizes)
+        sums = [np.bincount(whose, x, len(sizes)) for x in losses]
+        with np.errstate(invalid="ignore"):
+            means = [s / sizes for s in sums]
+        none = sizes == 0
+        return pa.table([row["doc_ids"].values, pa.array(sizes.astype(np.int64)), *(pa.array(m, mask=none) for m in means)], ["doc_id", "n_tokens", "t", "b"])
+
+    found = summed.select("block", "place", "ct", "cb")
+    out = told.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_tokens bigint, t double, b double")
     return out.select("doc_id", "n_tokens", F.round("t", 6).alias("loss_target"), F.round("b", 6).alias("loss_background"), F.round(F.col("t") - F.col("b"), 6).alias("score"))
 
 
@@ -119,31 +196,18 @@ texts AS (
   FROM documents d LEFT JOIN good g ON d.doc_id = g.doc_id),
 said AS (
   SELECT row, good, unnest(words) AS w, unnest(list_concat(['<s>'], words[1:len(words) - 1])) AS h FROM texts WHERE len(words) > 0),
-counts AS (
-  SELECT word, sum(good) AS t, count(*) AS b
-  FROM (SELECT w AS word, good FROM said UNION ALL SELECT '<s>', good FROM texts WHERE len(words) > 0) GROUP BY word),
-n AS (SELECT coalesce(sum(t), 0) AS t, coalesce(sum(b), 0) AS b FROM counts WHERE word <> '<s>'),
-known AS (SELECT word, counts.t, counts.b FROM counts, n WHERE word = '<s>' OR (counts.b >= 2 AND counts.b >= 1e-5 * n.b)),
-size AS (
-  SELECT count(*) AS v, n.t - coalesce(sum(known.t), 0) AS rt, n.b - coalesce(sum(known.b), 0) AS rb, n.t AS nt, n.b AS nb
-  FROM n LEFT JOIN known ON word <> '<s>' GROUP BY n.t, n.b),
-uni AS (
-  SELECT word, t, b, (t + 1)::DOUBLE / (nt + v + 1) AS pt, (b + 1)::DOUBLE / (nb + v + 1) AS pb FROM known, size),
-pairs AS (
-  SELECT h, w, sum(good) AS ct, count(*) AS cb FROM said
-  WHERE w IN (SELECT word FROM known WHERE word <> '<s>') AND h IN (SELECT word FROM known)
-  GROUP BY h, w HAVING sum(good) >= 2 AND sum(good) >= 5e-6 * (SELECT t FROM n)),
-whole AS (
-  SELECT pairs.h, pairs.w, (ct - 0.5)::DOUBLE / uh.t AS qt, (cb - 0.5)::DOUBLE / uh.b AS qb, uw.pt, uw.pb
-  FROM pairs JOIN uni uw ON pairs.w = uw.word JOIN uni uh ON pairs.h = uh.word),
-alpha AS (
-  SELECT h, (1 - sum(qt)) / (1 - sum(pt)) AS at, (1 - sum(qb)) / (1 - sum(pb)) AS ab FROM whole GROUP BY h),
+uni AS (SELECT w, sum(good) AS t, count(*) AS b FROM said GROUP BY w),
+n AS (SELECT coalesce(sum(t), 0) + count(*) AS t, coalesce(sum(b), 0) + count(*) AS b FROM uni),
+hist AS (SELECT h, sum(good) AS t, count(*) AS b FROM said GROUP BY h),
+pairs AS (SELECT h, w, sum(good) AS t, count(*) AS b FROM said GROUP BY h, w HAVING count(*) >= 2),
+kept AS (SELECT h, sum(t - 0.5) FILTER (t >= 2) AS t, sum(b - 0.5) AS b FROM pairs GROUP BY h),
 losses AS (
   SELECT said.row,
-    -coalesce(ln(whole.qt), ln(coalesce(alpha.at, 1)) + coalesce(ln(uni.pt), ln((rt + 1)::DOUBLE / (nt + v + 1)))) AS lt,
-    -coalesce(ln(whole.qb), ln(coalesce(alpha.ab, 1)) + coalesce(ln(uni.pb), ln((rb + 1)::DOUBLE / (nb + v + 1)))) AS lb
-  FROM said CROSS JOIN size LEFT JOIN whole ON said.h = whole.h AND said.w = whole.w
-  LEFT JOIN alpha ON said.h = alpha.h LEFT JOIN uni ON said.w = uni.word AND uni.word <> '<s>')
+    -ln(coalesce(CASE WHEN pairs.t >= 2 THEN (pairs.t - 0.5)::DOUBLE / hist.t END, 0)
+      + (1 - coalesce(kept.t::DOUBLE / nullif(hist.t, 0), 0)) * (uni.t + 1)::DOUBLE / n.t) AS lt,
+    -ln(coalesce((pairs.b - 0.5)::DOUBLE / hist.b, 0) + (1 - coalesce(kept.b::DOUBLE / hist.b, 0)) * (uni.b + 1)::DOUBLE / n.b) AS lb
+  FROM said CROSS JOIN n JOIN uni ON said.w = uni.w JOIN hist ON said.h = hist.h
+  LEFT JOIN kept ON said.h = kept.h LEFT JOIN pairs ON said.h = pairs.h AND said.w = pairs.w)
 SELECT doc_id, count(lt) AS n_tokens, round(avg(lt), 6) AS loss_target, round(avg(lb), 6) AS loss_background,
   round(avg(lt) - avg(lb), 6) AS score
 FROM texts LEFT JOIN losses ON texts.row = losses.row GROUP BY texts.row, doc_id

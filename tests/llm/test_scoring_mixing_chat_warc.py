@@ -13,46 +13,53 @@ from galena.llm.common import scratch
 
 
 def test_scores_are_those_of_brute_force(spark, docs, prose):
-    p = lm_scoring.Params(word_share=5e-5, pair_share=1e-3)
+    p = lm_scoring.Params()
     rows = [(k, " ".join(prose.rng.choice(prose.vocabulary[: 60 if k % 3 else 300]) for _ in range(prose.rng.randint(1, 60)))) for k in range(120)]
     rows += [(500, None), (501, ""), (502, "12 -- 3"), (503, rows[0][1]), (503, rows[0][1]), (None, rows[1][1]), (504, "ka lo " * 20_000)]
     labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(0, 120, 2)] + [(0, 1, 0), (None, 1, 0), (777, 1, 1)], "doc_id bigint, quality int, toxic int").withColumn("text", F.lit("clash"))
     good = {r.doc_id for r in labels.where("quality = 1").collect()}
     words = {n: [w for w in (t or "").lower().split() if w.isalpha()] for n, (_, t) in enumerate(rows)}
-    uni, pair = {m: Counter() for m in "tb"}, {m: Counter() for m in "tb"}
+    uni, pair, hist = ({m: Counter() for m in "tb"} for _ in range(3))
     for n, (i, _) in enumerate(rows):
         for m in "tb" if i is not None and i in good else "b":
-            uni[m].update((["<s>"] if words[n] else []) + words[n])
+            uni[m].update(words[n])
             pair[m].update(zip(["<s>", *words[n]], words[n], strict=False))
-    total = {m: sum(uni[m].values()) - uni[m]["<s>"] for m in "tb"}
-    known = {w for w, c in uni["b"].items() if w != "<s>" and c >= 2 and c >= p.word_share * total["b"]}
-    inventory = {(h, w) for (h, w), c in pair["t"].items() if w in known and (h in known or h == "<s>") and c >= 2 and c >= p.pair_share * total["t"]}
-    assert len(known) > 20 and len(inventory) > 20
+            hist[m].update(["<s>", *words[n]][: len(words[n])])
     loss = {}
     for m in "tb":
-        size, rest = len(known), total[m] - sum(uni[m][w] for w in known)
-        one = lambda w, m=m, size=size, rest=rest: ((uni[m][w] if w in known else rest) + 1) / (total[m] + size + 1)
-        seen, low = defaultdict(float), defaultdict(float)
-        for h, w in inventory:
-            seen[h] += (pair[m][h, w] - p.discount) / uni[m][h]
-            low[h] += one(w)
-        alpha = {h: (1 - seen[h]) / (1 - low[h]) for h in seen}
-        loss[m] = lambda h, w, m=m, one=one, alpha=alpha: -math.log((pair[m][h, w] - p.discount) / uni[m][h] if (h, w) in inventory else alpha.get(h, 1) * one(w))
-    got = sorted(lm_scoring.score(docs(rows).withColumn("score", F.lit(1)).withColumn("words", F.lit(1)).withColumn("row", F.lit(1)), labels, p).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
+        total = sum(uni[m].values()) + len(uni["b"])
+        gone = defaultdict(float)
+        for (h, _), c in pair[m].items():
+            gone[h] += (c - p.discount) / hist[m][h] if c >= p.least else 0
+        assert len(gone) > 20
+
+        def share(h, w, m=m, total=total, gone=gone):
+            c = pair[m][h, w]
+            return ((c - p.discount) / hist[m][h] if c >= p.least else 0) + (1 - gone[h]) * (uni[m][w] + 1) / total
+
+        # the shares of all words after a history are one
+        for h in ("<s>", "ka", *list(hist["b"])[:3]):
+            assert sum(share(h, w) for w in uni["b"]) == pytest.approx(1)
+        loss[m] = lambda h, w, share=share: -math.log(share(h, w))
+    clashing = docs(rows).withColumns({c: F.lit(1) for c in ("score", "words", "block", "good", "pair")})
     want = []
     for n, (i, _) in enumerate(rows):
         each = [[loss[m](h, w) for h, w in zip(["<s>", *words[n]], words[n], strict=False)] for m in "tb"]
         want.append((i, len(words[n]), *(np.mean(e) if e else None for e in each)))
     want.sort(key=lambda r: (str(r[0]), r[1]))
-    assert len(got) == len(want)
-    for g, w in zip(got, want, strict=True):
-        assert (g.doc_id, g.n_tokens) == w[:2]
-        if w[1]:
-            assert g.loss_target == pytest.approx(w[2], abs=2e-6) and g.loss_background == pytest.approx(w[3], abs=2e-6) and g.score == pytest.approx(w[2] - w[3], abs=2e-6)
-        else:
-            assert g.score is None and g.loss_target is None
+    for size in (lm_scoring.BLOCK_CHARS, 500):
+        got = sorted(lm_scoring.score(clashing, labels, p, size).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
+        assert len(got) == len(want)
+        for g, w in zip(got, want, strict=True):
+            assert (g.doc_id, g.n_tokens) == w[:2]
+            if w[1]:
+                assert g.loss_target == pytest.approx(w[2], abs=2e-6) and g.loss_background == pytest.approx(w[3], abs=2e-6) and g.score == pytest.approx(w[2] - w[3], abs=2e-6)
+            else:
+                assert g.score is None and g.loss_target is None
     assert lm_scoring.score(docs([]), labels).count() == 0
-    assert [r.n_tokens for r in lm_scoring.score(docs([(1, "a b"), (2, None)]), labels.limit(0)).orderBy("doc_id").collect()] == [2, 0]
+    assert lm_scoring.score(docs([(1, None), (None, "")]), labels).count() == 2
+    texts = docs([(1, "a b"), (2, None)]).withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert [r.n_tokens for r in lm_scoring.score(texts, labels.limit(0)).orderBy("doc_id").collect()] == [2, 0]
 
 
 def corpus(prose):
