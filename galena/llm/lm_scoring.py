@@ -1,23 +1,22 @@
 """Cross-entropy difference between matched target and background bigram models.
 
 The target text is that of the documents labelled as good, the background text that of all documents. Both models share
-one vocabulary, every word of the background; words are runs of letters in lower case. In model m with counts c_m,
-P(w|h) = max(0, c_m(hw) - D) / c_m(h) + lambda_m(h) (c_m(w) + 1) / (N_m + |V|), where a bigram counts only from
-``least`` = 2 occurrences in the model's own text on (one alone may be the scored document's own), c_m(h) is how often h
-is followed by a word, and lambda_m(h) is what the bigrams of h leave, so that the shares of all words after h are one. A
-document's score is the mean, over its words, of -ln P_target(w|h) + ln P_background(w|h): the lower, the more it is like
-the target.
+one vocabulary, every word of the background; words are runs of letters in lower case. Each document is scored by models of
+all the others: with counts c of model m that leave the document itself out,
+P(w|h) = weight c(hw) / c(h) + (1 - weight) (c(w) + 1) / (N + |V|), the unigram alone where h isn't followed by a word
+elsewhere. c(h) counts how often h is followed by a word; the shares of all words after h are one. A document's score is
+the mean, over its words, of -ln P_target(w|h) + ln P_background(w|h): the lower, the more it is like the target.
 
 All counts are of all documents, and no model has a bound on its size: it grows with the corpus and is never broadcast
 or collected. Texts are read once and written as blocks of word codes (``BLOCK_CHARS`` characters, a longer text is a block
 of its own) with the distinct words of the block. A word or bigram is one row a block, however often it stands there, so
 the rows of the most frequent one are as many as the blocks. One shuffle brings the rows of a bigram together, a window
-adds up its counts, and a second takes them back to their blocks; the words go the same way. Words are told apart by 64-bit
-hashes of their characters.
+adds up its counts, and a second takes the counts of those that occur elsewhere back to their blocks; the words go the same
+way. Words are told apart by 64-bit hashes of their characters.
 
 Defined results: null texts and texts without letters have no words and null losses and score; rows are scored one by one,
-so repeated rows and null ids stay; labels of a null id count for nothing and repeated ones as their best; without a
-target word the target model has add-one shares only; other columns are ignored.
+so repeated rows and null ids stay, and a copy of a document counts as another one; labels of a null id count for nothing
+and repeated ones as their best; without a target word the target model has add-one shares only; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,19 +32,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import bounded, cut, scratch, small_side, table
+from .common import bounded, scratch, small_side, table
 
 #: What stands before the first word of a text, as a word hash.
 START = np.uint64(0x5EED)
 BLOCK_CHARS = 16 << 20
 #: Rows that go from Python to Spark at once.
 ROWS = 1 << 18
+COUNTS = ("t", "b", "ht", "hb")
 
 
 @dataclass(frozen=True)
 class Params:
-    least: int = 2
-    discount: float = 0.5
+    weight: float = 0.6  # of the bigrams
 
 
 def blocks(documents: DataFrame, labels: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -53,7 +52,7 @@ def blocks(documents: DataFrame, labels: DataFrame, block_chars: int = BLOCK_CHA
 
     block, doc_ids, good and sizes (by document: whether it is labelled so, its words), words (hashes, that of the start
     first), t, b, ht and hb (by word: how often it stands in the target and the background, and before a word in them) and
-    tokens (32-bit places in ``words``, document after document)."""
+    tokens (32-bit places in ``words``, document after document, byte by byte from the lowest, which packs better)."""
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     good = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
@@ -77,110 +76,111 @@ def blocks(documents: DataFrame, labels: DataFrame, block_chars: int = BLOCK_CHA
         if ids:
             yield block(ids, flags, sizes, hashes)
 
-    counts = ", ".join(f"{c} array<int>" for c in ("t", "b", "ht", "hb"))
+    counts = ", ".join(f"{c} array<int>" for c in COUNTS)
     made = source.mapInArrow(run, f"doc_ids array<{kind}>, good array<boolean>, sizes array<int>, words array<bigint>, {counts}, tokens binary")
-    made.withColumn("block", F.monotonically_increasing_id()).write.parquet(path := scratch(spark, "lm-blocks"))
-    return spark.read.parquet(path)
+    return written(made.withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path := scratch(df.sparkSession, what))
+    return df.sparkSession.read.parquet(path)
 
 
 def block(ids: list, flags: list, sizes: list, hashes: list) -> pa.RecordBatch:
-    said = np.concatenate([np.array([START]), *hashes])
-    tokens, words = pd.factorize(said)
+    tokens, words = pd.factorize(np.concatenate([np.array([START]), *hashes]))
     tokens = tokens[1:].astype(np.int32)
     size = np.concatenate(sizes)
     good = pa.concat_arrays(flags)
     mine = np.repeat(good.to_numpy(zero_copy_only=False), size)
     before = histories(tokens, size)
-    t, b, ht, hb = (np.bincount(x, minlength=len(words)).astype(np.int32) for x in (tokens[mine], tokens, before[mine], before))
+    counts = (np.bincount(x, minlength=len(words)).astype(np.int32) for x in (tokens[mine], tokens, before[mine], before))
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    lists = [pa.concat_arrays(ids), good, pa.array(size.astype(np.int32)), pa.array(words.view(np.int64)), *map(pa.array, (t, b, ht, hb))]
-    return pa.RecordBatch.from_arrays([*map(one, lists), pa.array([tokens.tobytes()], pa.binary())], ["doc_ids", "good", "sizes", "words", "t", "b", "ht", "hb", "tokens"])
+    lists = [pa.concat_arrays(ids), good, pa.array(size.astype(np.int32)), pa.array(words.view(np.int64)), *map(pa.array, counts)]
+    planes = tokens.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return pa.RecordBatch.from_arrays([*map(one, lists), pa.array([planes], pa.binary())], ["doc_ids", "good", "sizes", "words", *COUNTS, "tokens"])
+
+
+def unpacked(row: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block its tokens, the sizes of its documents, and by document whether it is labelled as good."""
+    tokens = np.frombuffer(row["tokens"].as_buffer(), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel().astype(np.int64)
+    return tokens, row["sizes"].values.to_numpy(), row["good"].values.to_numpy(zero_copy_only=False)
 
 
 def histories(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The code before each; 0, the start, before the first of a document."""
     out = np.zeros(len(tokens), np.int64)
     out[1:] = tokens[:-1]
-    first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    out[first] = 0
+    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
     return out
 
 
-def bigrams(tokens: np.ndarray, sizes: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token the place of its bigram among the distinct ones, and those as history * n_words + word."""
-    return pd.factorize(histories(tokens, sizes) * n_words + tokens)
+def occurrences(keys: np.ndarray) -> np.ndarray:
+    """Of each key how often it occurs."""
+    at, distinct = pd.factorize(keys)
+    return np.bincount(at, minlength=len(distinct))[at]
 
 
 def pair_rows(made: DataFrame) -> DataFrame:
-    """pair, h, block, place, t and b of the distinct bigrams of each block."""
+    """pair, block, place, t and b of the distinct bigrams of each block; places are in the order of first occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                words = b.column("words")[k].values.to_numpy().view(np.uint64)
-                sizes = b.column("sizes")[k].values.to_numpy()
-                good = np.repeat(b.column("good")[k].values.to_numpy(zero_copy_only=False), sizes)
-                at, pairs = bigrams(np.frombuffer(b.column("tokens")[k].as_buffer(), np.int32), sizes, len(words))
+                row = {c: b.column(c)[k] for c in b.schema.names}
+                words = row["words"].values.to_numpy().view(np.uint64)
+                tokens, sizes, good = unpacked(row)
+                at, pairs = pd.factorize(histories(tokens, sizes) * len(words) + tokens)
                 h, w = words[pairs // len(words)], words[pairs % len(words)]
                 key = kernels.mix64(h * np.uint64(0x9E3779B97F4A7C15) + kernels.mix64(w)).view(np.int64)
-                number = b.column("block")[k].as_py()
-                t, n = (np.bincount(x, minlength=len(pairs)).astype(np.int32) for x in (at[good], at))
-                h = h.view(np.int64)
+                t, n = (np.bincount(x, minlength=len(pairs)).astype(np.int32) for x in (at[np.repeat(good, sizes)], at))
                 for i in range(0, len(pairs), ROWS):
                     j = min(len(pairs), i + ROWS)
-                    columns = [key[i:j], h[i:j], np.full(j - i, number), np.arange(i, j, dtype=np.int32), t[i:j], n[i:j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pair", "h", "block", "place", "t", "b"])
+                    columns = [key[i:j], np.full(j - i, row["block"].as_py()), np.arange(i, j, dtype=np.int32), t[i:j], n[i:j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pair", "block", "place", "t", "b"])
 
-    return made.select("block", "words", "sizes", "good", "tokens").mapInArrow(run, "pair bigint, h bigint, block bigint, place int, t int, b int")
+    return made.select("block", "words", "sizes", "good", "tokens").mapInArrow(run, "pair bigint, block bigint, place int, t int, b int")
 
 
 def score(documents: DataFrame, labels: DataFrame, p: Params = Params(), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score of every row of documents."""
     made = blocks(documents, labels, block_chars)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    columns = ("t", "b", "ht", "hb")
-    start = int(START)
-    words = made.select(F.explode(F.arrays_zip("words", *columns)).alias("w")).groupBy(F.col("w.words").alias("word"))
-    words = cut(words.agg(*(F.sum(f"w.{c}").alias(c) for c in columns)))
-    n = words.where(F.col("word") != start).agg(F.count("*").alias("v"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "tb")).first()
+    each = made.select("block", F.posexplode(F.arrays_zip("words", *COUNTS)).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), *(f"w.{c}" for c in COUNTS))
+    words = written(each.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "lm-words")
+    n = words.where(F.col("word") != int(START)).agg(F.count("*").alias("v"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "tb")).first()
+    asked = each.select("block", "place", "word").join(words, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", *COUNTS))).alias("v"))
+    told = made.select("block", "doc_ids", "good", "sizes", "tokens").join(asked.select("block", *(F.col(f"v.{c}") for c in COUNTS)), "block")
 
     same = W.partitionBy("pair")
-    summed = pair_rows(made).withColumns({"ct": F.sum("t").over(same), "cb": F.sum("b").over(same), "once": F.min("block").over(same) == F.col("block")})
-    summed = summed.where(F.col("cb") >= p.least)
-    kept = {m: F.when(F.col(f"c{m}") >= p.least, F.col(f"c{m}") - p.discount) for m in "tb"}
-    taken = summed.where("once").groupBy(F.col("h").alias("word")).agg(*(F.sum(kept[m]).alias(f"s{m}") for m in "tb"))
-    # of each word -> shares of the unigram and, as history, counts and what its bigrams leave
-    left = {m: F.when(F.col(f"h{m}") > 0, 1 - F.coalesce(f"s{m}", F.lit(0.0)) / F.col(f"h{m}")).otherwise(1.0) for m in "tb"}
-    share = {m: (F.col(m) + 1) / F.lit(float(max(1, n[m] + n.v))) for m in "tb"}
-    values = words.join(taken, "word", "left").select("word", *(share[m].alias(f"u{m}") for m in "tb"), *(left[m].alias(f"l{m}") for m in "tb"), "ht", "hb")
-    fields = ("ut", "ub", "lt", "lb", "ht", "hb")
-    asked = made.select("block", F.posexplode("words").alias("place", "word")).join(values, "word")
-    asked = asked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", *(F.col(f).cast("double").alias(f) for f in fields)))).alias("v"))
-    told = made.select("block", "doc_ids", "sizes", "tokens").join(asked.select("block", *(F.col(f"v.{f}").alias(f) for f in fields)), "block")
+    summed = pair_rows(made).withColumns({"ct": F.sum("t").over(same), "cb": F.sum("b").over(same)})
+    # what a block doesn't know of its own bigrams
+    summed = summed.where(F.col("cb") > F.col("b")).select("block", "place", "ct", "cb")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = {c: left.column(c)[0] for c in left.column_names}
-        sizes, tokens = row["sizes"].values.to_numpy(), np.frombuffer(row["tokens"].as_buffer(), np.int32)
-        at, pairs = bigrams(tokens, sizes, len(row["ut"].values))
-        h = pairs // len(row["ut"].values)
-        w = pairs - h * len(row["ut"].values)
-        which = right.column("place").to_numpy()
-        losses = []
-        for m in "tb":
-            uni, rest, seen = (row[c + m].values.to_numpy() for c in "ulh")
-            count = np.zeros(len(pairs))
-            count[which] = right.column(f"c{m}").to_numpy()
-            share = rest[h] * uni[w] + np.where(count >= p.least, count - p.discount, 0) / np.maximum(seen[h], 1)
-            losses.append(-np.log(share)[at])
+        tokens, sizes, good = unpacked(row)
+        known = {c: row[c].values.to_numpy() for c in COUNTS}
+        width = len(known["t"])
+        before = histories(tokens, sizes)
+        at, pairs = pd.factorize(before * width + tokens)
         whose = np.repeat(np.arange(len(sizes)), sizes)
-        sums = [np.bincount(whose, x, len(sizes)) for x in losses]
-        with np.errstate(invalid="ignore"):
-            means = [s / sizes for s in sums]
-        none = sizes == 0
-        return pa.table([row["doc_ids"].values, pa.array(sizes.astype(np.int64)), *(pa.array(m, mask=none) for m in means)], ["doc_id", "n_tokens", "t", "b"])
-
-    found = summed.select("block", "place", "ct", "cb")
-    out = told.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_tokens bigint, t double, b double")
+        own_pair, own_before, own_token = (occurrences(whose * k + x) for k, x in ((len(pairs), at), (width, before), (width, tokens)))
+        place = right.column("place").to_numpy()
+        means = []
+        for m, size in (("t", n.t), ("b", n.b)):
+            # the document's own share of the counts: nothing of the target if it isn't part of it
+            part = np.repeat(good, sizes).astype(np.int64) if m == "t" else np.ones(len(tokens), np.int64)
+            count = np.bincount(at, part, len(pairs)).astype(np.int64)
+            count[place] = right.column(f"c{m}").to_numpy()
+            followed = known[f"h{m}"][before] - part * own_before
+            weight = np.where(followed > 0, p.weight, 0.0)
+            total = size - part * sizes[whose] + n.v
+            share = weight * (count[at] - part * own_pair) / np.maximum(followed, 1) + (1 - weight) * (known[m][tokens] - part * own_token + 1) / total
+            with np.errstate(invalid="ignore"):
+                means.append(pa.array(np.bincount(whose, -np.log(share), len(sizes)) / sizes, mask=sizes == 0))
+        return pa.table([row["doc_ids"].values, pa.array(sizes.astype(np.int64)), *means], ["doc_id", "n_tokens", "t", "b"])
+
+    out = told.groupBy("block").cogroup(summed.groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_tokens bigint, t double, b double")
     return out.select("doc_id", "n_tokens", F.round("t", 6).alias("loss_target"), F.round("b", 6).alias("loss_background"), F.round(F.col("t") - F.col("b"), 6).alias("score"))
 
 
@@ -197,17 +197,20 @@ texts AS (
 said AS (
   SELECT row, good, unnest(words) AS w, unnest(list_concat(['<s>'], words[1:len(words) - 1])) AS h FROM texts WHERE len(words) > 0),
 uni AS (SELECT w, sum(good) AS t, count(*) AS b FROM said GROUP BY w),
-n AS (SELECT coalesce(sum(t), 0) + count(*) AS t, coalesce(sum(b), 0) + count(*) AS b FROM uni),
+n AS (SELECT coalesce(sum(t), 0) AS t, coalesce(sum(b), 0) AS b, count(*) AS v FROM uni),
 hist AS (SELECT h, sum(good) AS t, count(*) AS b FROM said GROUP BY h),
-pairs AS (SELECT h, w, sum(good) AS t, count(*) AS b FROM said GROUP BY h, w HAVING count(*) >= 2),
-kept AS (SELECT h, sum(t - 0.5) FILTER (t >= 2) AS t, sum(b - 0.5) AS b FROM pairs GROUP BY h),
+pairs AS (SELECT h, w, sum(good) AS t, count(*) AS b FROM said GROUP BY h, w),
+-- each occurrence with how often its pair, history and word stand in its own document
+own AS (
+  SELECT row, good, h, w, count(*) OVER (PARTITION BY row, h, w) AS p, count(*) OVER (PARTITION BY row, h) AS f,
+    count(*) OVER (PARTITION BY row, w) AS u, count(*) OVER (PARTITION BY row) AS d FROM said),
+elsewhere AS (
+  SELECT own.row, pairs.t - good * p AS tp, hist.t - good * f AS tf, uni.t - good * u + 1 AS tu, n.t - good * d + v AS td,
+    pairs.b - p AS bp, hist.b - f AS bf, uni.b - u + 1 AS bu, n.b - d + v AS bd
+  FROM own CROSS JOIN n JOIN uni ON own.w = uni.w JOIN hist ON own.h = hist.h JOIN pairs ON own.h = pairs.h AND own.w = pairs.w),
 losses AS (
-  SELECT said.row,
-    -ln(coalesce(CASE WHEN pairs.t >= 2 THEN (pairs.t - 0.5)::DOUBLE / hist.t END, 0)
-      + (1 - coalesce(kept.t::DOUBLE / nullif(hist.t, 0), 0)) * (uni.t + 1)::DOUBLE / n.t) AS lt,
-    -ln(coalesce((pairs.b - 0.5)::DOUBLE / hist.b, 0) + (1 - coalesce(kept.b::DOUBLE / hist.b, 0)) * (uni.b + 1)::DOUBLE / n.b) AS lb
-  FROM said CROSS JOIN n JOIN uni ON said.w = uni.w JOIN hist ON said.h = hist.h
-  LEFT JOIN kept ON said.h = kept.h LEFT JOIN pairs ON said.h = pairs.h AND said.w = pairs.w)
+  SELECT row, -ln(CASE WHEN tf > 0 THEN 0.6 * (tp::DOUBLE / tf) + 0.4 * (tu::DOUBLE / td) ELSE tu::DOUBLE / td END) AS lt,
+    -ln(CASE WHEN bf > 0 THEN 0.6 * (bp::DOUBLE / bf) + 0.4 * (bu::DOUBLE / bd) ELSE bu::DOUBLE / bd END) AS lb FROM elsewhere)
 SELECT doc_id, count(lt) AS n_tokens, round(avg(lt), 6) AS loss_target, round(avg(lb), 6) AS loss_background,
   round(avg(lt) - avg(lb), 6) AS score
 FROM texts LEFT JOIN losses ON texts.row = losses.row GROUP BY texts.row, doc_id

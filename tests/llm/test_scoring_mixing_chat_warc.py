@@ -1,7 +1,7 @@
 import io
 import math
 import struct
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -25,26 +25,26 @@ def test_scores_are_those_of_brute_force(spark, docs, prose):
             uni[m].update(words[n])
             pair[m].update(zip(["<s>", *words[n]], words[n], strict=False))
             hist[m].update(["<s>", *words[n]][: len(words[n])])
-    loss = {}
-    for m in "tb":
-        total = sum(uni[m].values()) + len(uni["b"])
-        gone = defaultdict(float)
-        for (h, _), c in pair[m].items():
-            gone[h] += (c - p.discount) / hist[m][h] if c >= p.least else 0
-        assert len(gone) > 20
-
-        def share(h, w, m=m, total=total, gone=gone):
-            c = pair[m][h, w]
-            return ((c - p.discount) / hist[m][h] if c >= p.least else 0) + (1 - gone[h]) * (uni[m][w] + 1) / total
-
-        # the shares of all words after a history are one
-        for h in ("<s>", "ka", *list(hist["b"])[:3]):
-            assert sum(share(h, w) for w in uni["b"]) == pytest.approx(1)
-        loss[m] = lambda h, w, share=share: -math.log(share(h, w))
+    def counts(own):
+        return {"h": Counter(["<s>", *own][: len(own)]), "p": Counter(zip(["<s>", *own], own, strict=False)), "w": Counter(own), "n": len(own)}
+
+    total = {m: sum(uni[m].values()) for m in "tb"}
+
+    def share(h, w, m, left):
+        """The share of w after h in model m of the documents other than one with these counts."""
+        followed = hist[m][h] - left["h"][h]
+        unigram = (uni[m][w] - left["w"][w] + 1) / (total[m] - left["n"] + len(uni["b"]))
+        return p.weight * (pair[m][h, w] - left["p"][h, w]) / followed + (1 - p.weight) * unigram if followed else unigram
+
+    # the shares of all words after a history are one
+    for h in ("<s>", "ka", *list(hist["b"])[:3]):
+        for own in ([], words[5]):
+            assert sum(share(h, w, "b", counts(own)) for w in uni["b"]) == pytest.approx(1)
     clashing = docs(rows).withColumns({c: F.lit(1) for c in ("score", "words", "block", "good", "pair")})
     want = []
     for n, (i, _) in enumerate(rows):
-        each = [[loss[m](h, w) for h, w in zip(["<s>", *words[n]], words[n], strict=False)] for m in "tb"]
+        mine = {"t": counts(words[n] if i is not None and i in good else []), "b": counts(words[n])}
+        each = [[-math.log(share(h, w, m, mine[m])) for h, w in zip(["<s>", *words[n]], words[n], strict=False)] for m in "tb"]
         want.append((i, len(words[n]), *(np.mean(e) if e else None for e in each)))
     want.sort(key=lambda r: (str(r[0]), r[1]))
     for size in (lm_scoring.BLOCK_CHARS, 500):
