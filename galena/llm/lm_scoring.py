@@ -9,10 +9,10 @@ the mean, over its words, of -ln P_target(w|h) + ln P_background(w|h): the lower
 
 All counts are of all documents, and no model has a bound on its size: it grows with the corpus and is never broadcast
 or collected. Texts are read once and written as blocks of word codes (``BLOCK_CHARS`` characters, a longer text is a block
-of its own) with the distinct words of the block. A word or bigram is one row a block, however often it stands there, so
-the rows of the most frequent one are as many as the blocks. One shuffle brings the rows of a bigram together, a window
-adds up its counts, and a second takes the counts of those that occur elsewhere back to their blocks; the words go the same
-way. Words are told apart by 64-bit hashes of their characters.
+of its own). The distinct words and bigrams of a block are sorted by a 64-bit hash, cut into buckets by ranges of it and
+shuffled by bucket, each row a block's keys in a bucket with their counts. There the counts of equal keys are added up, and
+the totals go back to the blocks by a second shuffle, in the order of the keys. A key is there once a block, however often
+it stands in it, so no bucket is much larger than the rest; there are as many buckets as make ``BUCKET_KEYS`` keys each.
 
 Defined results: null texts and texts without letters have no words and null losses and score; rows are scored one by one,
 so repeated rows and null ids stay, and a copy of a document counts as another one; labels of a null id count for nothing
@@ -28,7 +28,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -37,8 +36,7 @@ from .common import bounded, scratch, small_side, table
 #: What stands before the first word of a text, as a word hash.
 START = np.uint64(0x5EED)
 BLOCK_CHARS = 16 << 20
-#: Rows that go from Python to Spark at once.
-ROWS = 1 << 18
+BUCKET_KEYS = 1 << 20
 COUNTS = ("t", "b", "ht", "hb")
 
 
@@ -52,7 +50,7 @@ def blocks(documents: DataFrame, labels: DataFrame, block_chars: int = BLOCK_CHA
 
     block, doc_ids, good and sizes (by document: whether it is labelled so, its words), words (hashes, that of the start
     first), t, b, ht and hb (by word: how often it stands in the target and the background, and before a word in them) and
-    tokens (32-bit places in ``words``, document after document, byte by byte from the lowest, which packs better)."""
+    tokens (32-bit places in ``words``, document after document, in planes of bytes)."""
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     good = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
@@ -96,14 +94,12 @@ def block(ids: list, flags: list, sizes: list, hashes: list) -> pa.RecordBatch:
     counts = (np.bincount(x, minlength=len(words)).astype(np.int32) for x in (tokens[mine], tokens, before[mine], before))
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     lists = [pa.concat_arrays(ids), good, pa.array(size.astype(np.int32)), pa.array(words.view(np.int64)), *map(pa.array, counts)]
-    planes = tokens.view(np.uint8).reshape(-1, 4).T.tobytes()
-    return pa.RecordBatch.from_arrays([*map(one, lists), pa.array([planes], pa.binary())], ["doc_ids", "good", "sizes", "words", *COUNTS, "tokens"])
+    return pa.RecordBatch.from_arrays([*map(one, lists), pa.array([planes(tokens)], pa.binary())], ["doc_ids", "good", "sizes", "words", *COUNTS, "tokens"])
 
 
 def unpacked(row: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block its tokens, the sizes of its documents, and by document whether it is labelled as good."""
-    tokens = np.frombuffer(row["tokens"].as_buffer(), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel().astype(np.int64)
-    return tokens, row["sizes"].values.to_numpy(), row["good"].values.to_numpy(zero_copy_only=False)
+    return from_planes(row["tokens"].as_py(), np.int32).astype(np.int64), row["sizes"].values.to_numpy(), row["good"].values.to_numpy(zero_copy_only=False)
 
 
 def histories(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -120,67 +116,109 @@ def occurrences(keys: np.ndarray) -> np.ndarray:
     return np.bincount(at, minlength=len(distinct))[at]
 
 
-def pair_rows(made: DataFrame) -> DataFrame:
-    """pair, block, place, t and b of the distinct bigrams of each block; places are in the order of first occurrence."""
+def pairs_of(tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token the place of its bigram among the distinct ones, and the keys of these."""
+    at, pairs = pd.factorize(histories(tokens, sizes) * len(words) + tokens)
+    h, w = words[pairs // len(words)], words[pairs % len(words)]
+    return at, kernels.mix64(h * np.uint64(0x9E3779B97F4A7C15) + kernels.mix64(w))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte from the lowest, which packs better."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def keyed(made: DataFrame, pairs: bool, buckets: int) -> DataFrame:
+    """bucket, block, keys (sorted hashes) and counts of the words (t, b, ht and hb) or bigrams (t and b) of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 row = {c: b.column(c)[k] for c in b.schema.names}
-                words = row["words"].values.to_numpy().view(np.uint64)
-                tokens, sizes, good = unpacked(row)
-                at, pairs = pd.factorize(histories(tokens, sizes) * len(words) + tokens)
-                h, w = words[pairs // len(words)], words[pairs % len(words)]
-                key = kernels.mix64(h * np.uint64(0x9E3779B97F4A7C15) + kernels.mix64(w)).view(np.int64)
-                t, n = (np.bincount(x, minlength=len(pairs)).astype(np.int32) for x in (at[np.repeat(good, sizes)], at))
-                for i in range(0, len(pairs), ROWS):
-                    j = min(len(pairs), i + ROWS)
-                    columns = [key[i:j], np.full(j - i, row["block"].as_py()), np.arange(i, j, dtype=np.int32), t[i:j], n[i:j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pair", "block", "place", "t", "b"])
-
-    return made.select("block", "words", "sizes", "good", "tokens").mapInArrow(run, "pair bigint, block bigint, place int, t int, b int")
-
-
-def score(documents: DataFrame, labels: DataFrame, p: Params = Params(), block_chars: int = BLOCK_CHARS) -> DataFrame:
+                keys = row["words"].values.to_numpy().view(np.uint64)
+                if pairs:
+                    tokens, sizes, good = unpacked(row)
+                    at, keys = pairs_of(tokens, sizes, keys)
+                    counts = [np.bincount(x, minlength=len(keys)).astype(np.int32) for x in (at[np.repeat(good, sizes)], at)]
+                else:
+                    counts = [row[c].values.to_numpy() for c in COUNTS]
+                order = np.argsort(keys)
+                keys, counts = keys[order], [c[order] for c in counts]
+                which = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+                starts, ends = np.flatnonzero(np.diff(which, prepend=-1)), np.flatnonzero(np.diff(which, append=-1)) + 1
+                for i, j in zip(starts, ends, strict=True):
+                    packed = planes(np.concatenate([c[i:j] for c in counts]))
+                    yield pa.RecordBatch.from_arrays([pa.array([which[i]]), pa.array([row["block"].as_py()]), pa.array([keys[i:j].tobytes()]), pa.array([packed])], ["bucket", "block", "keys", "counts"])
+
+    columns = ["block", "words", *(("sizes", "good", "tokens") if pairs else COUNTS)]
+    return made.select(*columns).mapInArrow(run, "bucket int, block bigint, keys binary, counts binary")
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """bucket, block and the totals over all blocks of its keys, and on one row of each bucket the number of distinct keys."""
+
+    def run(group: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(k, np.uint64) for k in group.column("keys").to_pylist()]
+        ends = np.cumsum([len(k) for k in lists])
+        at, distinct = pd.factorize(np.concatenate(lists))
+        parts = [from_planes(c, np.int32).reshape(-1, len(k)) for c, k in zip(group.column("counts").to_pylist(), lists, strict=True)]
+        sums = np.stack([np.bincount(at, c, len(distinct)).astype(np.int64)[at] for c in np.concatenate(parts, 1)])
+        out = [planes(sums[:, j - len(k) : j].ravel()) for j, k in zip(ends, lists, strict=True)]
+        number = np.zeros(len(lists), np.int64)
+        number[0] = len(distinct)
+        return pa.table([group.column("bucket"), group.column("block"), pa.array(out), pa.array(number)], ["bucket", "block", "totals", "distinct"])
+
+    return rows.groupBy("bucket").applyInArrow(run, "bucket int, block bigint, totals binary, distinct bigint")
+
+
+def score(documents: DataFrame, labels: DataFrame, p: Params = Params(), block_chars: int = BLOCK_CHARS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score of every row of documents."""
     made = blocks(documents, labels, block_chars)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    each = made.select("block", F.posexplode(F.arrays_zip("words", *COUNTS)).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), *(f"w.{c}" for c in COUNTS))
-    words = written(each.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "lm-words")
-    n = words.where(F.col("word") != int(START)).agg(F.count("*").alias("v"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "tb")).first()
-    asked = each.select("block", "place", "word").join(words, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", *COUNTS))).alias("v"))
-    told = made.select("block", "doc_ids", "good", "sizes", "tokens").join(asked.select("block", *(F.col(f"v.{c}") for c in COUNTS)), "block")
-
-    same = W.partitionBy("pair")
-    summed = pair_rows(made).withColumns({"ct": F.sum("t").over(same), "cb": F.sum("b").over(same)})
-    # what a block doesn't know of its own bigrams
-    summed = summed.where(F.col("cb") > F.col("b")).select("block", "place", "ct", "cb")
+    # the start isn't a word, but stands among those of each block with counts of 0
+    add = lambda c: F.coalesce(F.sum(F.aggregate(c, F.lit(0).cast("bigint"), lambda x, y: x + y)), F.lit(0))
+    n = made.agg(add("t").alias("t"), add("b").alias("b"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("keys")).first()
+    words = written(totals(keyed(made, False, -(-n["keys"] // bucket_keys) or 1)), "lm-words")
+    v = (words.agg(F.sum("distinct")).first()[0] or 1) - 1
+    pairs = totals(keyed(made, True, -(-n.b // bucket_keys) or 1))
+    found = words.withColumn("pairs", F.lit(False)).unionByName(pairs.withColumn("pairs", F.lit(True)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = {c: left.column(c)[0] for c in left.column_names}
         tokens, sizes, good = unpacked(row)
-        known = {c: row[c].values.to_numpy() for c in COUNTS}
-        width = len(known["t"])
+        hashes = row["words"].values.to_numpy().view(np.uint64)
+        at, keys = pairs_of(tokens, sizes, hashes)
+        told = sorted(zip(right.column("pairs").to_pylist(), right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True), key=lambda r: r[:2])
+
+        def by_place(pairs: bool, keys: np.ndarray, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+            values = [from_planes(t, np.int64).reshape(len(names), -1) for which, _, t in told if which == pairs]
+            out = np.empty((len(names), len(keys)), np.int64)
+            out[:, np.argsort(keys)] = np.concatenate([np.empty((len(names), 0), np.int64), *values], 1)
+            return dict(zip(names, out, strict=True))
+
+        known, count = by_place(False, hashes, COUNTS), by_place(True, keys, ("t", "b"))
         before = histories(tokens, sizes)
-        at, pairs = pd.factorize(before * width + tokens)
         whose = np.repeat(np.arange(len(sizes)), sizes)
-        own_pair, own_before, own_token = (occurrences(whose * k + x) for k, x in ((len(pairs), at), (width, before), (width, tokens)))
-        place = right.column("place").to_numpy()
+        own_pair, own_before, own_token = (occurrences(whose * k + x) for k, x in ((len(keys), at), (len(hashes), before), (len(hashes), tokens)))
         means = []
         for m, size in (("t", n.t), ("b", n.b)):
             # the document's own share of the counts: nothing of the target if it isn't part of it
             part = np.repeat(good, sizes).astype(np.int64) if m == "t" else np.ones(len(tokens), np.int64)
-            count = np.bincount(at, part, len(pairs)).astype(np.int64)
-            count[place] = right.column(f"c{m}").to_numpy()
             followed = known[f"h{m}"][before] - part * own_before
             weight = np.where(followed > 0, p.weight, 0.0)
-            total = size - part * sizes[whose] + n.v
-            share = weight * (count[at] - part * own_pair) / np.maximum(followed, 1) + (1 - weight) * (known[m][tokens] - part * own_token + 1) / total
+            unigram = (known[m][tokens] - part * own_token + 1) / (size - part * sizes[whose] + v)
+            share = weight * (count[m][at] - part * own_pair) / np.maximum(followed, 1) + (1 - weight) * unigram
             with np.errstate(invalid="ignore"):
                 means.append(pa.array(np.bincount(whose, -np.log(share), len(sizes)) / sizes, mask=sizes == 0))
         return pa.table([row["doc_ids"].values, pa.array(sizes.astype(np.int64)), *means], ["doc_id", "n_tokens", "t", "b"])
 
-    out = told.groupBy("block").cogroup(summed.groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_tokens bigint, t double, b double")
+    told = made.select("block", "doc_ids", "good", "sizes", "words", "tokens")
+    out = told.groupBy("block").cogroup(found.select("block", "pairs", "bucket", "totals").groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_tokens bigint, t double, b double")
     return out.select("doc_id", "n_tokens", F.round("t", 6).alias("loss_target"), F.round("b", 6).alias("loss_background"), F.round(F.col("t") - F.col("b"), 6).alias("score"))
 
 

@@ -47,8 +47,8 @@ def test_scores_are_those_of_brute_force(spark, docs, prose):
         each = [[-math.log(share(h, w, m, mine[m])) for h, w in zip(["<s>", *words[n]], words[n], strict=False)] for m in "tb"]
         want.append((i, len(words[n]), *(np.mean(e) if e else None for e in each)))
     want.sort(key=lambda r: (str(r[0]), r[1]))
-    for size in (lm_scoring.BLOCK_CHARS, 500):
-        got = sorted(lm_scoring.score(clashing, labels, p, size).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
+    for size, keys in ((lm_scoring.BLOCK_CHARS, lm_scoring.BUCKET_KEYS), (500, 300)):
+        got = sorted(lm_scoring.score(clashing, labels, p, size, keys).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
         assert len(got) == len(want)
         for g, w in zip(got, want, strict=True):
             assert (g.doc_id, g.n_tokens) == w[:2]
