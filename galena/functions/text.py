@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from ..schema import CHUNK_CAPACITY, LANGUAGES, MAX_AVERAGE_LINE, MAX_DIGITS, MAX_LINE, MAX_LINES, MIN_ALNUM, PROSE
 
 
+def ascii_lower(text: Column) -> Column:
+    """A text with small ASCII letters; others stay, as where patterns are matched without the case of ASCII letters only."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def lines(text: Column) -> Column:
     """The lines of a text; a line break at the end makes an empty one."""
     return F.split(text, "\n", -1)
@@ -63,25 +69,26 @@ def query_words(query: str) -> list[str]:
 def line_windows(text: Column, capacity: int = CHUNK_CAPACITY) -> Column:
     """Consecutive lines of together at least ``capacity`` characters with their breaks: an array of (line, body).
 
-    ``line`` counts from 0. A fold over the lines that carries where the window began and how long it is; only whole
-    windows are added to the array.
+    ``line`` counts from 0. A fold over the lines that carries their number, where the window began and how long it is; only
+    whole windows are added to the array.
     """
     each = lines(text)
-    kind = "struct<done:array<struct<first:int,n:int>>,first:int,size:int>"
-    start = F.from_json(F.lit('{"done":[],"first":0,"size":0}'), kind)
+    kind = "struct<done:array<struct<first:int,n:int>>,first:int,size:int,next:int>"
+    start = F.from_json(F.lit('{"done":[],"first":0,"size":0,"next":1}'), kind)
 
-    def step(acc: Column, k: Column) -> Column:
-        size = acc["size"] + F.length(F.element_at(each, k + 1)) + 1
+    def step(acc: Column, line: Column) -> Column:
+        size = acc["size"] + F.length(line) + 1
         whole = size >= capacity
-        window = F.array(F.struct(acc["first"].alias("first"), (k + 1 - acc["first"]).alias("n")))
+        window = F.array(F.struct(acc["first"].alias("first"), (acc["next"] - acc["first"]).alias("n")))
         return F.struct(
             F.when(whole, F.concat(acc["done"], window)).otherwise(acc["done"]).alias("done"),
-            F.when(whole, k + 1).otherwise(acc["first"]).alias("first"),
+            F.when(whole, acc["next"]).otherwise(acc["first"]).alias("first"),
             F.when(whole, F.lit(0)).otherwise(size).alias("size"),
+            (acc["next"] + 1).alias("next"),
         )
 
     n = F.size(each)
-    folded = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
+    folded = F.aggregate(each, start, step)
     rest = F.when(folded["first"] < n, F.array(F.struct(folded["first"].alias("first"), (n - folded["first"]).alias("n")))).otherwise(F.array().cast("array<struct<first:int,n:int>>"))
     windows = F.concat(folded["done"], rest)
     return F.transform(windows, lambda w: F.struct(w["first"].alias("line"), F.array_join(F.slice(each, w["first"] + 1, w["n"]), "\n").alias("body")))
@@ -96,6 +103,30 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n), level)
 
 
+def glob_regex(glob: str) -> str:
+    """The regular expression of a glob over paths with slashes."""
+    out, i = "", 0
+    while i < len(glob):
+        if glob.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif glob[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif glob[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif glob[i] == "[" and (end := glob.find("]", i + 2)) > 0:
+            inside = glob[i + 1 : end]
+            out, i = out + "[" + ("^" + inside[1:] if inside[0] in "!^" else inside).replace("\\", "\\\\") + "]", end + 1
+        elif glob[i] == "{" and (end := glob.find("}", i)) > 0:
+            out, i = out + "(?:" + "|".join(glob_regex(g) for g in glob[i + 1 : end].split(",")) + ")", end + 1
+        elif glob[i] == "\\" and i + 1 < len(glob):
+            out, i = out + re.escape(glob[i + 1]), i + 2
+        else:
+            out, i = out + re.escape(glob[i]), i + 1
+    return out
+
+
 def escape_xml(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
@@ -109,3 +140,16 @@ def fence(text: Column) -> Column:
 def occurrences(text: Column, word: str) -> Column:
     """How often a word stands in a text, overlapping ones too."""
     return F.regexp_count(text, F.lit(f"(?={re.escape(word)})"))
+
+
+FENCES = {"typescript": "typescript", "tsx": "typescript", "javascript": "javascript", "jsx": "javascript", "python": "python"}
+
+
+def fence_language(language: Column) -> Column:
+    """What stands behind the first fence of a language's text; nothing for most."""
+    known = F.create_map(*(F.lit(x) for pair in FENCES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, language), F.lit(""))
+
+
+def plain_path(path: Column) -> Column:
+    return F.translate(path, "\\", "/")

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import ancestors
 from ..schema import STATUSES
+from ..session import before_ranges, in_ranges
 
 
 def counts(**tables: DataFrame) -> DataFrame:
@@ -60,15 +61,17 @@ def global_rank(nodes: DataFrame) -> DataFrame:
     Ranks come from the counts of distinct values, so that only these are in one sequence, summed by ranges.
     """
     by = nodes.groupBy("pagerank").agg(F.count("*").alias("n"))
-    ranged = by.repartitionByRange(F.col("pagerank").desc()).withColumn("part", F.spark_partition_id())
-    parts = ranged.groupBy("part").agg(F.sum("n").alias("size"))
-    before = parts.withColumn("before", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ranged = in_ranges(by, F.col("pagerank").desc())
+    before = before_ranges(ranged, F.col("n"))
     inside = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy(F.col("pagerank").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = ranged.withColumn("inside", inside).join(F.broadcast(before), "part").select("pagerank", (F.col("before") + F.col("inside") + 1).alias("rank"))
+    ranks = ranged.withColumn("inside", inside).join(before, "part").select("pagerank", (F.col("before") + F.col("inside") + 1).alias("rank"))
     return nodes.join(ranks, "pagerank").select("id", "pagerank", "rank")
 
 
-def top_nodes(nodes: DataFrame, n: int) -> DataFrame:
+def top_nodes(nodes: DataFrame, n: int, file_path: str | None = None) -> DataFrame:
+    """The n highest nodes, at least one, of all or of one file."""
+    if file_path is not None:
+        nodes = nodes.where(F.col("file_path") == file_path)
     return nodes.orderBy(F.col("pagerank").desc(), "id").limit(max(1, n))
 
 
@@ -79,6 +82,11 @@ def top_in_file(nodes: DataFrame, k: int = 5) -> DataFrame:
     return best.groupBy("file_path").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda s: s["id"]).alias("related_nodes"))
 
 
+def top_leaves(file_tokens: DataFrame, n: int = 10) -> DataFrame:
+    """The n files of most tokens."""
+    return file_tokens.orderBy(F.col("tokens").desc(), "file_path").limit(n)
+
+
 def overview(files: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: sizes, health, when it was last indexed and the number of languages."""
     of_files = files.agg(F.count("*").alias("files"), F.max("indexed_at").alias("last_indexed"), F.count_distinct("language").alias("languages"), *(F.count_if(F.col("parse_status") == s).alias(s) for s in STATUSES))

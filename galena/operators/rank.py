@@ -76,3 +76,9 @@ def written_back(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
     """nodes with the ranks; a node without one has 0."""
     columns = nodes.columns
     return nodes.drop("pagerank").join(ranks, "id", "left").withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0))).select(columns)
+
+
+def rank_of(nodes: DataFrame, node: str | int) -> float:
+    """The rank of a node, 0 if there is none or it has none."""
+    found = nodes.where(F.col("id") == node).select("pagerank").first()
+    return found.pagerank or 0.0 if found else 0.0

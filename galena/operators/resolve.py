@@ -4,25 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..session import places
 
-def innermost(points: DataFrame, symbols: DataFrame, key: str = "ref_id") -> DataFrame:
+#: Lines a bin: points and spans of one file meet in bins, so that a long file isn't all pairs of its lines and symbols.
+BIN = 128
+
+
+def innermost(points: DataFrame, symbols: DataFrame, key: str = "ref_id", order: str = "id") -> DataFrame:
     """Of each point (key, file_path, line) the id of the smallest symbol around it, null outside all.
 
-    Smallest by lines, then by offsets, then by start. The equal file makes it a hash join with the range as residual.
+    Smallest by lines, then by offsets, then by start and ``order``. File and bin of lines make it a hash join with the range as residual.
     """
-    s = symbols.select(F.col("file_path").alias("f"), "id", "start_line", "end_line", "start_byte", "end_byte")
-    around = (F.col("file_path") == F.col("f")) & F.col("line").between(F.col("start_line"), F.col("end_line"))
-    size = F.struct(F.col("end_line") - F.col("start_line"), F.col("end_byte") - F.col("start_byte"), "start_byte", "id")
+    s = _binned(symbols.select(F.col("file_path").alias("f"), "id", "start_line", "end_line", "start_byte", "end_byte", F.col(order).alias("o")), "start_line", "end_line")
+    around = (F.col("file_path") == F.col("f")) & (F.floor(F.col("line") / BIN) == F.col("bin")) & F.col("line").between(F.col("start_line"), F.col("end_line"))
+    size = F.struct(F.col("end_line") - F.col("start_line"), F.col("end_byte") - F.col("start_byte"), "start_byte", "o")
     return points.join(s, around, "left").groupBy(key).agg(F.min_by("id", F.when(F.col("id").isNotNull(), size)).alias("from_node_id"))
 
 
+def _binned(spans: DataFrame, first: str, last: str, name: str = "bin") -> DataFrame:
+    """Each span once in each bin of lines that it touches; without lines, or if it ends before it starts, nowhere."""
+    bins = F.sequence(F.floor(F.col(first) / BIN), F.floor(F.col(last) / BIN))
+    return spans.where(F.col(first) <= F.col(last)).withColumn(name, F.explode(bins))
+
+
 def overlapping(left: DataFrame, right: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
     """Pairs of ids of line ranges (id, file_path, start_line, end_line) of one file that overlap."""
-    x = left.select(F.col("id").alias(a), "file_path", F.col("start_line").alias("s1"), F.col("end_line").alias("e1"))
-    y = right.select(F.col("id").alias(b), F.col("file_path").alias("f2"), F.col("start_line").alias("s2"), F.col("end_line").alias("e2"))
-    return x.join(y, (F.col("file_path") == F.col("f2")) & (F.col("s1") <= F.col("e2")) & (F.col("e1") >= F.col("s2"))).select(a, b)
+    x = _binned(left.select(F.col("id").alias(a), "file_path", F.col("start_line").alias("s1"), F.col("end_line").alias("e1")), "s1", "e1", "bin1")
+    y = _binned(right.select(F.col("id").alias(b), F.col("file_path").alias("f2"), F.col("start_line").alias("s2"), F.col("end_line").alias("e2")), "s2", "e2", "bin2")
+    # a pair meets in every bin that both touch and counts in the first of them
+    once = F.col("bin1") == F.floor(F.greatest("s1", "s2") / BIN)
+    return x.join(y, (F.col("file_path") == F.col("f2")) & (F.col("bin1") == F.col("bin2")) & once & (F.col("s1") <= F.col("e2")) & (F.col("e1") >= F.col("s2"))).select(a, b)
 
 
 def _first(nodes: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
@@ -61,16 +73,15 @@ def numbered(edges: DataFrame, first: int | Column = 1) -> DataFrame:
 
     The sort is by ranges and the numbers are the offset of the range and the place in it, so no single task sees all.
     """
-    ordered = edges.repartitionByRange("file_path", "line", "source", "target").withColumn("part", F.spark_partition_id())
-    place = F.row_number().over(W.partitionBy("part").orderBy("file_path", "line", "source", "target"))
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    return ordered.withColumn("place", place).join(F.broadcast(before), "part").withColumn("edge_id", (F.col("before") + F.col("place") - 1 + first).cast("bigint")).drop("part", "place", "before", "file_path")
+    found = places(edges, "edge_id", *map(F.col, ("file_path", "line", "source", "target")))
+    return found.withColumn("edge_id", (F.col("edge_id") - 1 + first).cast("bigint")).drop("file_path")
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
-    """The first edge of each (source, target, kind, line); a missing line is like any other."""
-    return edges.groupBy("source", "target", "kind", F.coalesce("line", F.lit(-1)).alias("line")).agg(F.min("edge_id").alias("edge_id"))
+    """The first edge of each (source, target, kind, line); a missing line is like -1, and stays as the first edge has it."""
+    first = F.min(F.struct("edge_id", "line"))
+    found = edges.groupBy("source", "target", "kind", F.coalesce("line", F.lit(-1)).alias("key")).agg(first.alias("first"))
+    return found.select("source", "target", "kind", "first.line", "first.edge_id")
 
 
 def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -42,10 +42,10 @@ def nodes(spark: SparkSession, sf_dir: str, pagerank: DataFrame | None = None) -
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source and target: a large line of an order and the next one, each as often as it occurs."""
-    big = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    """source and target: a line of an order and the next one, each as often as it occurs."""
+    every = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     after = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    return big.select(F.col("l_partkey").alias("source"), after.alias("target"), F.col("l_linenumber").alias("line"), "l_orderkey").where("target is not null")
+    return every.select(F.col("l_partkey").alias("source"), after.alias("target"), F.col("l_linenumber").alias("line"), "l_orderkey").where("target is not null")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ NODES_SQL = "SELECT p_partkey AS id, p_name AS name, p_type || '::' || p_name AS
 LINKS_SQL = """SELECT source, target, line FROM (
   SELECT l_partkey AS source, l_linenumber AS line,
     lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS target
-  FROM lineitem WHERE l_quantity >= 49) WHERE target IS NOT NULL"""
+  FROM lineitem) WHERE target IS NOT NULL"""
 WINDOWS_SQL = r"""
 WITH RECURSIVE lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),

@@ -204,14 +204,14 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SPANS_SQL + """,
 spans AS (SELECT doc_id, id, start_line, end_line FROM w UNION ALL SELECT doc_id, doc_id || ':all', 1, max(end_line) FROM w GROUP BY doc_id),
-points AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1, 3)) AS line FROM documents),
+points AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
 around AS (SELECT p.doc_id, p.line, s.id, row_number() OVER (PARTITION BY p.doc_id, p.line ORDER BY s.end_line - s.start_line, s.start_line, s.id) AS k
   FROM points p LEFT JOIN spans s ON s.doc_id = p.doc_id AND p.line BETWEEN s.start_line AND s.end_line)
 SELECT doc_id, line, id AS symbol FROM around WHERE k = 1""")
 def enclosing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References stand on every third line of every document."""
+    """References stand on every line of every document."""
     n = F.size(text.lines(F.col("text")))
-    points = A.table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("file_path"), F.explode(F.sequence(F.lit(1), n, F.lit(3))).alias("line"))
+    points = A.table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("file_path"), F.explode(F.sequence(F.lit(1), n)).alias("line"))
     points = points.withColumn("ref_id", F.struct("file_path", "line"))
     found = resolve.innermost(points, _spans(spark, sf_dir))
     return found.select(F.col("ref_id.file_path").alias("doc_id"), F.col("ref_id.line").cast("bigint").alias("line"), F.col("from_node_id").alias("symbol"))
@@ -384,7 +384,7 @@ SELECT id, 0 AS depth FROM l0 UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id
 @query(_walk_sql("target", "source"))
 def callers_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.kept_edges(spark, sf_dir)
-    return graph.walk(e, _start(e), 2, cap=None).nodes
+    return graph.walk(e, _start(e), 2, cap=None, nodes=A.nodes(spark, sf_dir)).nodes
 
 
 @query(_LINKS + f""", l0 AS (SELECT max_by(source, (n, -source)) AS id FROM (SELECT source, count(*) AS n FROM e GROUP BY source)),
@@ -404,7 +404,7 @@ def _impact_sql() -> str:
     for d in (1, 2):
         seeds = "SELECT id FROM v0 UNION SELECT id FROM f1" if d == 1 else f"SELECT id FROM v{d - 1} WHERE depth = {d - 1}"
         out += f""", a{d} AS (SELECT source AS id FROM e WHERE target IN ({seeds}){" UNION SELECT id FROM f1" if d == 1 else ""}),
-b{d} AS (SELECT sibling AS id FROM sib WHERE id IN (SELECT id FROM a{d} WHERE id NOT IN (SELECT id FROM v{d - 1})) AND sibling NOT IN (SELECT id FROM v{d - 1})),
+b{d} AS (SELECT sibling AS id FROM sib WHERE id IN (SELECT id FROM a{d}) AND sibling NOT IN (SELECT id FROM v{d - 1} UNION SELECT id FROM a{d})),
 c{d} AS (SELECT source AS id FROM e WHERE target IN (SELECT id FROM b{d})),
 v{d} AS (SELECT id, depth FROM v{d - 1} UNION ALL SELECT id, {d} FROM (SELECT id FROM a{d} UNION SELECT id FROM b{d} UNION SELECT id FROM c{d}) WHERE id NOT IN (SELECT id FROM v{d - 1}))"""
     return out + " SELECT id, depth FROM v2"
@@ -541,10 +541,10 @@ def layer_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def layer_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both stages. The second goes file by file, so a pack's files, a few numbers each, are on the driver."""
-    rows = [(r.path, r.cost_full, r.cost_skeleton, r.cost_outline, r.importance, False) for r in _candidates(spark, sf_dir).toLocalIterator()]
-    chosen, _, _ = layers.select_layers(rows, sum(r[1] for r in rows) // _BUDGET_DIVISOR)
-    return spark.createDataFrame(list(chosen.items()), "path string, layer string")
+    """Both stages over all documents within a sixth of their words."""
+    c = _candidates(spark, sf_dir)
+    total = c.agg(F.sum("cost_full")).first()[0] or 0
+    return layers.backfilled(c, total // _BUDGET_DIVISOR)
 
 
 @query("""

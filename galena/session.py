@@ -1,22 +1,31 @@
-"""What the operators need of the session: the shared folder and ways to cut lineage and to check a side's size."""
+"""What all parts need of the session: the shared folder and ways to cut lineage and to check a side's size."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 #: Rows up to which a counted side of a join is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, the folder that all executors share; a local one only where it is unset."""
+    """``spark.checkpoint.dir``, the folder that all executors share.
+
+    Where it is unset, a folder below the warehouse of a local session; on a cluster that is an error, as a folder of one
+    machine would be lost with it."""
     context = spark.sparkContext
-    at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    at = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if at is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='galena-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(at)
@@ -34,4 +43,28 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it is measured to have at most ``rows`` rows and ``BROADCAST_BYTES`` bytes, else unchanged: the join then shuffles."""
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if isinstance(f.dataType, T.StringType | T.BinaryType) else F.lit(8) for f in df.schema]
+    n, size = df.limit(rows + 1).select(sum(sizes, F.lit(0)).cast("bigint").alias("size")).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
+
+
+def in_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` sorted into ranges of ``order``, written once, with the number of the range as ``part``.
+
+    It is written because the ranges and their numbers must be the same for all that is derived from them."""
+    return cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+
+
+def before_ranges(ranged: DataFrame, amount: Column, name: str = "before") -> DataFrame:
+    """part and the sum of ``amount`` over the ranges before it: one row a range, small whatever the number of rows."""
+    sums = ranged.groupBy("part").agg(F.sum(amount).cast("bigint").alias("amount"))
+    return F.broadcast(sums.select("part", F.coalesce(F.sum("amount").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(name)))
+
+
+def places(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with the place of each row in ``order``, from 1: that of the range and that in it, so no task sees all rows."""
+    ranged = in_ranges(df, *order)
+    inside = F.row_number().over(W.partitionBy("part").orderBy(*order))
+    found = ranged.withColumn(name, inside).join(before_ranges(ranged, F.lit(1)), "part")
+    return found.withColumn(name, F.col(name) + F.col("before")).drop("part", "before")

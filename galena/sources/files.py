@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import extension, is_valid
+from ..functions.text import extension, glob_regex, is_valid
 from ..schema import MAX_FILE_BYTES
 
 DEFAULT_IGNORE = ("node_modules/", ".git/", ".galena/", "dist/", "build/", "out/", ".next/", "coverage/", "*.min.js", "*.map", "*.lock", "pnpm-lock.yaml", "package-lock.json", "yarn.lock")
@@ -24,30 +24,6 @@ BOMS = (b"\xef\xbb\xbf", b"\x00\x00\xfe\xff", b"\xff\xfe\x00\x00", b"\x84\x31\x9
 LEGACY = ("gb18030", "shift_jis", "euc-kr", "cp1252")
 
 
-def glob_regex(glob: str) -> str:
-    """The regular expression of a glob over paths with slashes."""
-    out, i = "", 0
-    while i < len(glob):
-        if glob.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif glob[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif glob[i] == "?":
-            out, i = out + "[^/]", i + 1
-        elif glob[i] == "[" and (end := glob.find("]", i + 2)) > 0:
-            inside = glob[i + 1 : end]
-            out, i = out + "[" + ("^" + inside[1:] if inside[0] in "!^" else inside).replace("\\", "\\\\") + "]", end + 1
-        elif glob[i] == "{" and (end := glob.find("}", i)) > 0:
-            out, i = out + "(?:" + "|".join(glob_regex(g) for g in glob[i + 1 : end].split(",")) + ")", end + 1
-        elif glob[i] == "\\" and i + 1 < len(glob):
-            out, i = out + re.escape(glob[i + 1]), i + 2
-        else:
-            out, i = out + re.escape(glob[i]), i + 1
-    return out
-
-
 def ignore_rules(content: str) -> list[tuple[re.Pattern, bool, bool]]:
     """Pattern, whether it takes back, and whether it is for folders only, of each line that says something."""
     rules = []

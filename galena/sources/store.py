@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..schema import SCHEMA_VERSION, TABLES
 from ..session import small_side
 
 POINTER = "_CURRENT"
+SIDE_VERSION = "1"
 
 
 def merged(old: DataFrame, new: DataFrame, changed: DataFrame, key: str) -> DataFrame:
@@ -89,17 +91,21 @@ class Store:
         for name, df in tables.items():
             kept = df.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in TABLES[name].split(", "))) if name in TABLES else df
             kept.write.parquet(f"{self.folder}/{version}/{name}")
-        fs, at = self._fs(f"{self.folder}/{POINTER}-{version}")
+        self._point(self.folder, version)
+        self._forget({version, before})
+        return version
+
+    def _point(self, folder: str, to: str) -> None:
+        """Write a new pointer beside the old one and rename it into place."""
+        fs, at = self._fs(f"{folder}/{POINTER}-{uuid.uuid4().hex}")
         stream = fs.create(at, True)
-        stream.write(bytearray(f"{version}\n{before or ''}".split("\n")[0].encode()))
+        stream.write(bytearray(to.encode()))
         stream.close()
         options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         jarray = self.spark.sparkContext._gateway.new_array(options, 1)
         jarray[0] = options.OVERWRITE
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(fs.makeQualified(at), fs.makeQualified(self._fs(f"{self.folder}/{POINTER}")[1]), jarray)
-        self._forget({version, before})
-        return version
+        context.rename(fs.makeQualified(at), fs.makeQualified(self._fs(f"{folder}/{POINTER}")[1]), jarray)
 
     def _forget(self, keep: set) -> None:
         """Snapshots but the current one and the one before, which readers may still hold."""
@@ -108,3 +114,46 @@ class Store:
             name = status.getPath().getName()
             if name.startswith("v-") and name not in keep:
                 fs.delete(status.getPath(), True)
+
+    # sidecars: tables beside the snapshots, each in a folder of its own with a pointer to the newest
+
+    def _side(self, name: str) -> str | None:
+        fs, at = self._fs(f"{self.folder}/side/{name}/{POINTER}")
+        if not fs.exists(at):
+            return None
+        stream = fs.open(at)
+        try:
+            version, _, made = bytes(stream.readAllBytes()).decode().strip().partition(" ")
+        finally:
+            stream.close()
+        return f"{self.folder}/side/{name}/{made}" if version == SIDE_VERSION and made else None
+
+    def side(self, name: str) -> DataFrame | None:
+        """A sidecar; None if there is none, or one that is damaged or of another version."""
+        try:
+            at = self._side(name)
+            return None if at is None else self.spark.read.parquet(f"{at}/rows")
+        except (AnalysisException, UnicodeDecodeError):
+            return None
+
+    def side_meta(self, name: str) -> dict:
+        at = self._side(name)
+        return json.loads(self.spark.read.text(f"{at}/meta").first().value) if at else {}
+
+    def write_side(self, name: str, rows: DataFrame, meta: dict | None = None) -> None:
+        """Write a sidecar and move its pointer once it is whole. What was there before stays for its readers until the next."""
+        before, made = self._side(name), f"s-{uuid.uuid4().hex}"
+        at = f"{self.folder}/side/{name}"
+        rows.write.parquet(f"{at}/{made}/rows")
+        self.spark.createDataFrame([(json.dumps(meta or {}),)], "value string").coalesce(1).write.text(f"{at}/{made}/meta")
+        self._point(at, f"{SIDE_VERSION} {made}")
+        fs, folder = self._fs(at)
+        for status in fs.listStatus(folder):
+            found = status.getPath().getName()
+            if found.startswith("s-") and found not in (made, (before or "").rpartition("/")[2]):
+                fs.delete(status.getPath(), True)
+
+    def size(self) -> int:
+        """Bytes of the current snapshot."""
+        fs, at = self._fs(f"{self.folder}/{self.version()}")
+        return fs.getContentSummary(at).getLength()
