@@ -6,7 +6,8 @@ line between, ``<|end|>`` and a line break.
 
 Defined results: turns sort by number (nulls last), then role and text, so ties have one order; repeated turns stay; a null
 role is ``unknown`` and a null text is empty; ``<|`` in a role or text becomes ``< |``, so no text can pose as a marker; the
-rows of a null conversation are one conversation; other columns are ignored.
+a row of a null conversation is a conversation of its own, as nothing says which rows belong together; other columns are
+ignored. A conversation is one row of the result and so in one task, whatever its length.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ def _plain(c: str, otherwise: str) -> Column:
 def format_chats(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_messages and chat of every conversation."""
     turn = F.struct(F.col("turn").isNull().alias("last"), F.col("turn").alias("turn"), _plain("role", "unknown").alias("role"), _plain("text", "").alias("text"))
-    sorted_turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    sorted_turns = conversations.select("conv_id", alone.alias("alone"), turn.alias("turn")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     # runs of one role as their first turn and number of turns: texts aren't copied while they are folded
     empty = F.array().cast("array<struct<role:string,first:int,n:int>>")
 
@@ -47,14 +49,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH plain AS (
-  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations),
-placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS k FROM plain),
-marked AS (SELECT *, (role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY k))::INT AS fresh FROM placed),
-runs AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY k) AS run FROM marked),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS LAST, role, text) AS k FROM plain),
+marked AS (SELECT *, (role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id, alone ORDER BY k))::INT AS fresh FROM placed),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, alone ORDER BY k) AS run FROM marked),
 messages AS (
-  SELECT conv_id, run, count(*) AS n, '<|' || min(role) || E'|>\n' || string_agg(text, E'\n\n' ORDER BY k) || E'<|end|>\n' AS m
-  FROM runs GROUP BY conv_id, run)
+  SELECT conv_id, alone, run, count(*) AS n, '<|' || min(role) || E'|>\n' || string_agg(text, E'\n\n' ORDER BY k) || E'<|end|>\n' AS m
+  FROM runs GROUP BY conv_id, alone, run)
 SELECT conv_id, sum(n)::INT AS n_turns, count(*)::INT AS n_messages, string_agg(m, '' ORDER BY run) AS chat
-FROM messages GROUP BY conv_id
+FROM messages GROUP BY conv_id, alone
 """

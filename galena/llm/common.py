@@ -1,17 +1,18 @@
-"""Session and planning helpers shared by the operators of this subpackage."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when its counted rows are at most this many; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+from ..session import cut, shared_dir, small_side
+
+__all__ = ["bounded", "cut", "fresh", "id_hash", "scratch", "shared_dir", "small_side", "table"]
+
 #: Bytes of rows that go to Python at once.
 BATCH_BYTES = 4 << 20
 
@@ -20,25 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where the setting is unset."""
-    context = spark.sparkContext
-    at = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = context.getCheckpointDir()
-    if at is None:
-        at = f"file://{tempfile.mkdtemp(prefix='galena-')}"
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that a lost executor costs no recomputation from the start."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def bounded(df: DataFrame) -> DataFrame:
     """``df``, whose rows go to Python in Arrow batches of at most ``BATCH_BYTES`` (a longer text is a batch of its own).
 
@@ -56,9 +38,9 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/galena-{what}-{uuid.uuid4().hex}"
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows, else unchanged: the join then shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def id_hash(column: str = "doc_id") -> Column:
+    """The order in which bounded samples are taken: a hash of the id, of any type; rows of one id go by their text."""
+    return F.xxhash64(F.col(column).cast("string"))
 
 
 def fresh(columns: Iterable[str], name: str) -> str:

@@ -10,7 +10,7 @@ a language. Identification covers every document and whole texts in one map with
 
 Defined results: null texts and texts without a letter or digit have no language and are ambiguous, as are all texts if
 fewer than two languages are known; rows are judged one by one, so repeated rows and null ids stay; equal losses go to the
-language that comes first in the alphabet and are ambiguous; other columns are ignored.
+language that comes first in the alphabet and are ambiguous; ids may be of any type; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import bounded, small_side, table
+from .common import bounded, id_hash, small_side, table
 
 EXHAUSTIVE = 6
 
@@ -32,10 +33,9 @@ EXHAUSTIVE = 6
 @dataclass(frozen=True)
 class Params:
     orders: tuple[int, ...] = (1, 2, 3)
-    bits: int = 15
+    bits: int = 12
     per_language: int = 400
     max_chars: int = 2_000_000
-    max_features: int = 6000
     steps: int = 120
     ridge: float = 1e-4
     gap: float = 0.15
@@ -93,7 +93,7 @@ def fit(texts: list[str], languages: list[str], p: Params = Params()) -> Model |
         codes, _, _ = kernels.padded([text])
         for k, (_, b) in enumerate(kernels.gram_buckets(codes, p.orders, p.bits)):
             seen[np.unique(b).astype(np.int64) + (k << p.bits)] += 1
-    chosen = np.sort(np.argsort(-seen, kind="stable")[: min(p.max_features, int((seen > 0).sum()))])
+    chosen = np.flatnonzero(seen)
     x = frequencies(texts, p, chosen)
     scale = 1 / np.sqrt((x * x).mean(0) + 1e-10)
     x *= scale / np.sqrt(len(chosen))
@@ -118,18 +118,17 @@ def fit(texts: list[str], languages: list[str], p: Params = Params()) -> Model |
 
 
 def sample(documents: DataFrame, p: Params = Params()) -> tuple[list[str], list[str]]:
-    known = documents.where("doc_id is not null and lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"))
+    known = documents.where("doc_id is not null and lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    labelled = known.select("doc_id", "lang").distinct().withColumn("order", id_hash())
+    # the first of each language: every task passes on no more than that many
+    place = F.row_number().over(W.partitionBy("lang").orderBy("order", F.col("doc_id").cast("string")))
+    picked = labelled.withColumn("place", place).where(F.col("place") <= p.per_language).drop("place")
+    # of rows that share an id and a language the text with the least hash
+    found = known.join(small_side(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang", "order").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     texts: list[str] = []
     langs: list[str] = []
-    picked = None
-    for lang in sorted(r.lang for r in known.select("lang").distinct().collect()):
-        some = known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.per_language)
-        picked = some if picked is None else picked.unionAll(some)
-    if picked is None:
-        return texts, langs
-    found = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(small_side(picked.distinct()), ["doc_id", "lang"])
     chars: dict[str, int] = {}
-    for r in sorted(found.dropDuplicates(["doc_id"]).collect(), key=lambda r: int(kernels.mix64(np.array([r.doc_id & (2**64 - 1)], np.uint64))[0])):
+    for r in sorted(found.collect(), key=lambda r: (r.order, str(r.doc_id), r.lang)):
         if chars.setdefault(r.lang, 0) + len(r.text) <= p.max_chars:
             chars[r.lang] += len(r.text)
             texts.append(r.text)

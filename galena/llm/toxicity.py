@@ -7,8 +7,10 @@ texts. A logistic regression over these is trained on the driver from a bounded
 hash of the id); a fifth of it is held out to set the threshold. Scoring covers every document and whole texts in one
 map without a shuffle: the model has at most ``max_features`` weights, whatever the size of the corpus.
 
-Defined results: a null, empty or letterless text scores minus the size of the threshold,
-is never toxic; rows are scored one by one, so repeated rows and null ids stay; without labelled rows of both
+Ids may be of any type; of rows that share an id one text is learnt from, that with the least hash.
+
+Defined results: a null, empty or letterless text scores minus the size of the threshold and is never toxic; a text that
+scores 0 isn't toxic; rows are scored one by one, so repeated rows and null ids stay; without labelled rows of both
 classes nothing is toxic and scores are null; other columns are ignored by ``score`` and kept by ``keep_clean``.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import bounded, fresh, small_side, table
+from .common import bounded, fresh, id_hash, small_side, table
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,7 @@ class Model:
     buckets: np.ndarray  # order index << bits | bucket
     weights: np.ndarray
     threshold: float
+    ratios: np.ndarray  # naive Bayes log-count ratios of the buckets, which the weights have in them
     held_out: tuple[int, int, int, int] = (0, 0, 0, 0)  # true and false positives, false and true negatives
 
 
@@ -124,20 +127,23 @@ def fit(texts: list[str], toxic: list[int], p: Params = Params()) -> Model | Non
     said = z[judged] >= cutoff
     truth = y[judged]
     held_out = tuple(int(v.sum()) for v in (said & truth, said & ~truth, ~said & truth, ~said & ~truth)) if held.any() else (0, 0, 0, 0)
-    return Model(p, kinds, w * ratio / max(rms, 1e-12), float(cutoff - b), held_out)
+    return Model(p, kinds, w * ratio / max(rms, 1e-12), float(cutoff - b), ratio, held_out)
 
 
 def sample(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[list[str], list[int]]:
     """The bounded training sample: documents of each class in the order of a hash of the id."""
     marks = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = marks.withColumn("order", id_hash())
     picked = None
     for kind, most in ((1, p.max_toxic), (0, p.max_clean)):
-        some = marks.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        some = marks.where(F.col("toxic") == kind).orderBy("order", F.col("doc_id").cast("string")).limit(most)
         picked = some if picked is None else picked.unionAll(some)
     found = documents.select("doc_id", "text").where("text is not null").join(small_side(picked), "doc_id")
+    # of rows that share an id the text with the least hash
+    found = found.groupBy("doc_id", "toxic", "order").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     texts, toxic, chars = [], [], {0: 0, 1: 0}
-    for r in sorted(found.dropDuplicates(["doc_id"]).collect(), key=lambda r: (hash_of(r.doc_id), r.doc_id)):
+    for r in sorted(found.collect(), key=lambda r: (r.order, str(r.doc_id))):
         if chars[r.toxic] + len(r.text) <= p.max_chars:
             chars[r.toxic] += len(r.text)
             texts.append(r.text)
@@ -145,10 +151,6 @@ def sample(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tup
     return texts, toxic
 
 
-def hash_of(doc_id: int) -> int:
-    return int(kernels.mix64(np.array([doc_id & (2**64 - 1)], np.uint64))[0])
-
-
 def scorer(model: Model):
     """A pandas UDF: by text the classifier's value above its threshold; positive is toxic."""
     p, buckets, weights, threshold = model.params, model.buckets, model.weights.astype(np.float32), model.threshold

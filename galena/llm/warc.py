@@ -7,12 +7,14 @@ length of Content-Length and is followed by two line breaks and nothing else.
 
 Defined results: a record that fails a check is a row with ``error`` set and the fields that could be read; a frame that
 can't be decoded, or is cut off, is a row with ``error`` and ends its file, as the next frame can't be found; an empty file
-has no rows; a file that can't be opened fails the job. ``write_archives`` writes a null url without the field and a null
+has no rows; a Content-Length of more than 18 digits and a record of more than ``RECORD_BYTES`` are errors; a file that can't be opened fails the job. A block that
+isn't UTF-8 is read as Latin-1 by ``text_of``. ``write_archives`` writes a null url without the field and a null
 page as an empty block; repeated rows and null ids stay; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -21,7 +23,7 @@ from typing import BinaryIO
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, scratch, table
@@ -34,6 +36,10 @@ CHUNK = 1 << 18
 ARCHIVE_BYTES = 1 << 30
 DICTIONARY_BYTES = 1 << 15
 DICTIONARY_RECORDS = 256
+#: Bytes of a record beyond which it isn't kept in memory but told as an error, and bytes that are decoded at once.
+RECORD_BYTES = 1 << 30
+STEP = 1 << 14
+LENGTH = re.compile("[0-9]{1,18}")
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
@@ -77,19 +83,24 @@ class Frames:
             if head[:4] != FRAME_MAGIC:
                 yield start, None, "no frame begins here"
                 return
-            frame, out = decoder.decompressobj(), []
+            frame, out, size = decoder.decompressobj(), [], 0
             try:
-                while not frame.eof and (data := self.need(1)):
-                    out.append(frame.decompress(data))
-                    self.buffer = frame.unused_data if frame.eof else b""
-                    self.at += len(data) - len(self.buffer)
+                while not frame.eof and (data := self.need(1)[:STEP]):
+                    part = frame.decompress(data)
+                    size += len(part)
+                    out = [] if size > RECORD_BYTES else out
+                    out.append(part)
+                    self.take(len(data) - (len(frame.unused_data) if frame.eof else 0))
             except zstandard.ZstdError as e:
                 yield start, None, f"a frame can't be decoded: {e}"
                 return
             if not frame.eof:
                 yield start, None, "a frame is cut off"
                 return
-            yield start, b"".join(out), None
+            if size > RECORD_BYTES:
+                yield start, None, f"a record of {size} bytes is larger than {RECORD_BYTES}"
+            else:
+                yield start, b"".join(out), None
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes | None, str | None]:
@@ -113,8 +124,8 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes | None, str | None]:
         fields.setdefault(name, value.strip())
     if missing := [f for f in MANDATORY if f not in fields]:
         return fields, None, "without " + ", ".join(missing)
-    if not (fields["content-length"].isascii() and fields["content-length"].isdigit()):
-        return fields, None, "Content-Length isn't a number"
+    if not LENGTH.fullmatch(fields["content-length"]):
+        return fields, None, "Content-Length isn't a number of at most 18 digits"
     length = int(fields["content-length"])
     if len(rest) < length:
         return fields, rest, f"the block has {len(rest)} of {length} bytes"
@@ -140,7 +151,7 @@ def write_archive(to: BinaryIO, records: Iterator[bytes], most: int = ARCHIVE_BY
         return False
     encoder = zstandard.ZstdCompressor(level=3)
     try:
-        trained = zstandard.train_dictionary(DICTIONARY_BYTES, [r[:CHUNK] for r in first], level=3)
+        trained = zstandard.train_dictionary(DICTIONARY_BYTES, [r for r in first if len(r) <= CHUNK] or first, level=3)
         packed = zstandard.ZstdCompressor(level=9).compress(trained.as_bytes())
         to.write(struct.pack("<II", DICTIONARY, len(packed)) + packed)
         encoder = zstandard.ZstdCompressor(level=3, dict_data=trained)
@@ -201,7 +212,7 @@ def read_archives(paths: DataFrame) -> DataFrame:
                         if content is not None:
                             fields, block, error = parse(content)
                         length = fields.get("content-length", "")
-                        rows.append((path, start, *(fields.get(k) for k in ("warc-type", "warc-record-id", "warc-date", "warc-target-uri", "content-type")), int(length) if length.isascii() and length.isdigit() else None, block, error))
+                        rows.append((path, start, *(fields.get(k) for k in ("warc-type", "warc-record-id", "warc-date", "warc-target-uri", "content-type")), int(length) if LENGTH.fullmatch(length) else None, block, error))
                         size += len(block or b"")
                         if size > BATCH_BYTES:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FIELDS.types, strict=True)], schema=FIELDS)
@@ -218,6 +229,12 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path")
 
 
+def text_of(block: Column) -> Column:
+    """A block as text: UTF-8, or where it isn't that Latin-1, in which every byte is a character."""
+    text = block.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(block, "ISO-8859-1"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written as archives in the shared folder and read from these."""
     paths = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
@@ -225,7 +242,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = max(1, paths.count())
     found = read_archives(paths.repartition(min(files, 10_000), "path"))
     page = F.regexp_extract("record_id", r"^<urn:page:(-?\d+)>$", 1).cast("bigint")
-    return found.select(page.alias("page_id"), F.col("uri").alias("url"), F.col("content_length"), F.decode("block", "UTF-8").alias("html"), "error")
+    return found.select(page.alias("page_id"), F.col("uri").alias("url"), F.col("content_length"), text_of(F.col("block")).alias("html"), "error")
 
 
 OP5_SQL = "SELECT page_id, url, octet_length(encode(html)) AS content_length, html, NULL::VARCHAR AS error FROM pages"

@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -36,6 +39,52 @@ def test_toxic_documents_are_found_in_held_out_ones(spark, docs, prose):
     assert sorted((r.doc_id or -1) for r in kept.select("doc_id").collect()) == sorted((r.doc_id or -1) for r in found if not r.is_toxic)
 
 
+def gram_counts(text, orders, bits):
+    """Buckets of the n-grams of one text, gram by gram."""
+    plain = "".join(c if c.isalnum() else " " for c in f" {text.lower()} ")
+    while "  " in plain:
+        plain = plain.replace("  ", " ")
+    out = Counter()
+    for k, n in enumerate(orders):
+        for i in range(len(plain) - n + 1):
+            h = 0
+            for c in plain[i : i + n]:
+                h = (h * 0x01000193 + (ord(c) + 0x9E37) * 0x85EBCA6B) % 2**32
+            b = (h ^ h >> 15) * (0x2C1B3C6D + 2 * n) % 2**32
+            out[k << bits | (b ^ b >> 13) * 0x9E3779B1 % 2**32 >> 32 - bits] += 1
+    return out
+
+
+def test_toxicity_is_that_of_brute_force(spark, docs, prose):
+    rows, labels = labelled(prose, 200)
+    p = toxicity.Params()
+    texts, marks = [t for _, t in rows], [t for _, _, t in labels]
+    model = toxicity.fit(texts, marks, p)
+    counts = [gram_counts(t, p.orders, p.bits) for t in texts]
+    train = [k for k in range(len(texts)) if k % 5 != 4]
+    seen = {c: Counter(b for k in train if marks[k] == c for b in counts[k]) for c in (0, 1)}
+    size = {c: sum(marks[k] == c for k in train) for c in (0, 1)}
+    for b, ratio in zip(model.buckets[:500].tolist(), model.ratios[:500], strict=True):
+        want = np.log((seen[1][b] + p.alpha) / (size[1] + 2 * p.alpha)) - np.log((seen[0][b] + p.alpha) / (size[0] + 2 * p.alpha))
+        assert ratio == pytest.approx(want)
+    weight = dict(zip(model.buckets.tolist(), model.weights, strict=True))
+    want = {k: sum(weight.get(b, 0) * n for b, n in c.items()) / (sum(c.values()) + p.prior) - model.threshold for k, c in enumerate(counts)}
+    got = toxicity.with_score(docs([(k, t) for k, t in enumerate(texts)]), model, "score")
+    for r in got.collect():
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-5)
+
+
+def test_samples_take_ids_of_any_type_and_one_text_an_id(spark, docs, prose):
+    rows, labels = labelled(prose, 40)
+    frame = docs([*rows, *((0, f"other {k} words") for k in range(30))]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    first = toxicity.sample(frame, marks)
+    assert len(first[0]) == 40 and first == toxicity.sample(frame.repartition(7), marks)
+    assert toxicity.score(frame, marks).count() == 70
+    langs = language.sample(frame)
+    assert len(langs[0]) == 40 and langs == language.sample(frame.repartition(5))
+
+
 def test_toxicity_without_labels_or_documents(spark, docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = toxicity.score(docs([(1, "a"), (2, None)]), none).collect()
@@ -176,6 +225,23 @@ def test_languages_of_held_out_documents(spark, docs, prose):
     assert language.identify(docs([])).count() == 0
 
 
+def test_languages_are_those_of_brute_force(prose):
+    texts = [" ".join(prose.rng.choice(v.split()) for _ in range(60)) for v in ("ka lo mer", "zu xi wob", "dra vel po")] * 20
+    texts = [t + f" {k}" for k, t in enumerate(texts)]
+    p = language.Params(steps=40)
+    model = language.fit(texts, ["aa", "bb", "cc"] * 20, p)
+    for text, margin in zip(texts[:9], language.margins(texts[:9], model), strict=True):
+        counts = gram_counts(text, p.orders, p.bits)
+        want = sum(model.table[b] * n for b, n in counts.items()) / sum(counts.values()) + model.bias
+        assert margin == pytest.approx(want, abs=1e-4)
+        loss = [sum(w * np.log1p(np.exp(-m * c)) for w, m, c in zip(model.weight, margin, code, strict=True)) for code in model.code]
+        best, gap = language.decode(margin[None], model)
+        assert best[0] == int(np.argmin(loss)) and gap[0] == pytest.approx(np.diff(sorted(loss))[0], abs=1e-9)
+    # equal losses: the first in the alphabet, and ambiguous
+    best, gap = language.decode(np.zeros((1, model.code.shape[1])), model)
+    assert best[0] == 0 and gap[0] == pytest.approx(0)
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 4, 6, 9, 20):
         code = language.codewords(k)

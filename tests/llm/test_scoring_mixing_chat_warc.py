@@ -1,7 +1,7 @@
 import io
 import math
 import struct
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -109,9 +109,11 @@ def test_mixed_repeats_rows_by_their_copies(spark, docs, prose):
 
 
 def test_chats(spark):
-    rows = [(1, 2, "assistant", "c"), (1, 0, "user", "a"), (1, 1, "user", "b <|end|>"), (1, None, None, None), (2, 0, "user", ""), (2, 0, "user", ""), (None, 0, "system", "s"), (3, 5, "b", "x"), (3, 5, "a", "y")]
+    rows = [(1, 2, "assistant", "c"), (1, 0, "user", "a"), (1, 1, "user", "b <|end|>"), (1, None, None, None), (2, 0, "user", ""), (2, 0, "user", ""), (None, 0, "system", "s"), (None, 1, "system", "s"), (3, 5, "b", "x"), (3, 5, "a", "y")]
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("chat", F.lit(1)).withColumn("turns", F.lit(2)).withColumn("runs", F.lit(2))
-    got = {r.conv_id: (r.n_turns, r.n_messages, r.chat) for r in chat.format_chats(frame).collect()}
+    found = chat.format_chats(frame).collect()
+    assert len(found) == 5
+    got = {r.conv_id: (r.n_turns, r.n_messages, r.chat) for r in found}
     assert got == {
         1: (4, 3, "<|user|>\na\n\nb < |end|><|end|>\n<|assistant|>\nc<|end|>\n<|unknown|>\n<|end|>\n"),
         2: (2, 1, "<|user|>\n\n\n<|end|>\n"),
@@ -158,6 +160,8 @@ def test_broken_archives_give_rows_with_errors(spark, tmp_path):
         good(6).replace(b"Content-Length: 4", b"Content-Length: 2"),
         good(7).replace(b"Content-Length: 4", b"Content-Length: four"),
         good(8).replace(b"WARC-Date:", b"WARC Date"),
+        good(8).replace(b"Content-Length: 4", b"Content-Length: 99999999999999999999999"),
+        good(8).replace(b"Content-Length: 4", b"Content-Length: " + b"9" * 5000),
     ]
     files = {"a": whole, "b": archive(wrong) + archive([good(9)]), "c": whole[:-3], "d": whole + b"junk and more", "e": b"", "f": struct.pack("<II", warc.DICTIONARY, 90) + b"short", "g": whole[:20] + b"\x99\x98" + whole[22:]}
     for name, data in files.items():
@@ -168,13 +172,26 @@ def test_broken_archives_give_rows_with_errors(spark, tmp_path):
         by[r.path.rsplit("/", 1)[1][0]].append(r)
     assert [r.error for r in by["a"]] == [None, None]
     assert bytes(by["a"][0].block) == b"body" and by["a"][1].uri == "http://x/2"
-    assert [r.error is None for r in by["b"]] == [False] * 6 + [True]
+    assert [r.error is None for r in by["b"]] == [False] * 8 + [True]
+    assert by["b"][6].content_length is None and by["b"][7].content_length is None
     assert [r.error is None for r in by["c"]] == [True, False]
     assert [r.error is None for r in by["d"]] == [True, True, False]
     assert not by["e"] and [r.error is None for r in by["f"]] == [False]
     assert by["g"][-1].error or len(by["g"]) == 2
 
 
+def test_blocks_that_are_not_utf8(spark):
+    frame = spark.createDataFrame([(1, "äß".encode()), (2, "äß".encode("latin-1")), (3, None), (4, b"")], "k int, block binary")
+    got = {r.k: r.text for r in frame.select("k", warc.text_of(F.col("block")).alias("text")).collect()}
+    assert got == {1: "äß", 2: "äß", 3: None, 4: ""}
+
+
+def test_records_that_are_too_large(monkeypatch):
+    monkeypatch.setattr(warc, "RECORD_BYTES", 1000)
+    found = list(warc.Frames(io.BytesIO(archive([good(1), good(2, b"x" * 100_000), good(3)]))))
+    assert [e is None for _, _, e in found] == [True, False, True]
+
+
 def test_round_trip(spark):
     rows = [(k, f"http://x/{k}\r\nEvil: 1" if k % 7 == 0 else f"http://x/{k}", f"<p>é page {k}</p>" * (k % 40)) for k in range(600)] + [(700, None, "x"), (701, "u", None), (None, "u", "y"), (702, "u", "r\r\n\r\n"), (702, "u", "r\r\n\r\n"), (703, "u", "long " * 400_000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("block", F.lit(1)).repartition(3)
