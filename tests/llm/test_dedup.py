@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -61,7 +63,7 @@ def test_no_documents(spark, docs):
     assert near_dedup.keep_one(docs([])).columns == docs([]).columns
 
 
-def test_near_pairs_are_those_of_brute_force(spark, docs, prose):
+def test_near_pairs_are_those_of_brute_force(spark, docs, prose, monkeypatch):
     rows = []
     for k in range(60):
         base = prose.text(prose.rng.randint(20, 120))
@@ -70,11 +72,50 @@ def test_near_pairs_are_those_of_brute_force(spark, docs, prose):
     bits, some = near_dedup.simhash([t for _, t in rows])
     assert some.all()
     apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2)
-    want = {(rows[i][0], rows[j][0], int(apart[i, j])) for i in range(len(rows)) for j in range(i) if apart[i, j] <= near_dedup.TAU}
-    want = {(min(a, b), max(a, b), d) for a, b, d in want}
-    got = {tuple(r) for r in near_dedup.near_pairs(points).collect()}
+    want = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if apart[i, j] <= near_dedup.TAU}
     assert len(want) > 60
-    assert got == want
+    above = {i: i for i, _ in rows}
+    for a, b in sorted(want):
+        x, y = (next(k for k in above if above[k] == above[c]) for c in (a, b))
+        low, high = sorted((above[x], above[y]))
+        above = {k: low if v == high else v for k, v in above.items()}
+    degree = Counter(x for pair in want for x in pair)
+    for group, deep in ((1 << 21, 1 << 16), (20, 2), (4, 1 << 16)):  # whole groups, and such as are split by two and three segments
+        monkeypatch.setattr(near_dedup, "GROUP_POINTS", group)
+        monkeypatch.setattr(near_dedup, "DEEP_POINTS", deep)
+        got = near_dedup.links(points).collect()
+        links = Counter()
+        for r in got:
+            if r.src == r.dst:
+                links[r.src] += r.n_links
+        assert links == degree
+        roots = {r.node: r.root for r in near_dedup.components(spark.createDataFrame([(r.src, r.dst) for r in got if r.src != r.dst], "src bigint, dst bigint")).collect()}
+        assert {k: roots.get(k, k) for k in above} == above
+
+
+def test_pairs_of_a_group_are_those_of_brute_force():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (40, 2), np.uint64)
+    bits = np.repeat(base, 8, axis=0)
+    for row in range(len(bits)):
+        for k in rng.integers(0, 128, rng.integers(0, 9)):
+            bits[row, k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+    hi, lo = bits[:, 0].copy(), bits[:, 1].copy()
+    apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2)
+    want = {(i, j) for i in range(len(bits)) for j in range(i) if apart[i, j] <= near_dedup.TAU}
+    for segments in (1, 2, 3):
+        found, first = set(), []
+        for start in range(near_dedup.BOXES):
+            a, _ = near_dedup.turned(hi, lo, start)
+            for key in np.unique(a >> np.uint64(56)):
+                mine = np.flatnonzero(a >> np.uint64(56) == key)
+                for i, j, d in near_dedup.near_in_group(hi[mine], lo[mine], start, segments):
+                    pairs = [(max(x, y), min(x, y)) for x, y in zip(mine[i].tolist(), mine[j].tolist(), strict=True)]
+                    assert [apart[p] for p in pairs] == d.tolist()
+                    found.update(pairs)
+                    once = near_dedup.is_first(hi[mine[i]] ^ hi[mine[j]], lo[mine[i]] ^ lo[mine[j]], start)
+                    first += [p for p, o in zip(pairs, once, strict=True) if o]
+        assert found == want and len(first) == len(want) == len(set(first))
 
 
 def test_groups_take_their_lowest_id(spark, docs, prose):
@@ -82,7 +123,9 @@ def test_groups_take_their_lowest_id(spark, docs, prose):
     rows = [(9, base), (4, prose.edited(base, 1)), (6, base), (20, other), (21, None), (22, ""), (23, None), (24, ""), (25, "..."), (None, base)]
     rows += [(100 + k, base) for k in range(50)]
     frame = docs(rows).withColumn("kept_id", F.lit(0)).withColumn("point", F.lit(0)).withColumn("hi", F.lit("x"))
-    got = {tuple(r) for r in near_dedup.groups(frame).collect()}
+    found = near_dedup.groups(frame)
+    assert {r.n_links for r in found.collect()} == {1}
+    got = {(r.doc_id, r.kept_id) for r in found.collect()}
     assert got == {(9, 4), (6, 4), *((100 + k, 4) for k in range(50))}
     kept = near_dedup.keep_one(frame)
     assert kept.columns == frame.columns
@@ -91,5 +134,5 @@ def test_groups_take_their_lowest_id(spark, docs, prose):
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "src bigint, dst bigint")
-    got = {r.node: r.root for r in near_dedup.components(near_dedup.forest(edges)).collect()}
+    got = {r.node: r.root for r in near_dedup.components(edges).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
