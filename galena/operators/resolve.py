@@ -37,6 +37,16 @@ def overlapping(left: DataFrame, right: DataFrame, a: str = "a_id", b: str = "b_
     return x.join(y, (F.col("file_path") == F.col("f2")) & (F.col("bin1") == F.col("bin2")) & once & (F.col("s1") <= F.col("e2")) & (F.col("e1") >= F.col("s2"))).select(a, b)
 
 
+def scopes(spans: DataFrame) -> DataFrame:
+    """id and scope, the ids of all spans (id, file_path, start_line, end_line) strictly around it, outermost first; none without any."""
+    s = spans.select("file_path", "id", "start_line", "end_line")
+    o = _binned(s.select(F.col("file_path").alias("f"), F.col("id").alias("outer_id"), F.col("start_line").alias("s"), F.col("end_line").alias("e")), "s", "e")
+    inside = (F.col("file_path") == F.col("f")) & (F.floor(F.col("start_line") / BIN) == F.col("bin")) & (F.col("s") <= F.col("start_line")) & (F.col("e") >= F.col("end_line"))
+    strictly = (F.col("s") < F.col("start_line")) | (F.col("e") > F.col("end_line"))
+    found = s.join(o, inside & strictly).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("s", (-F.col("e")).alias("e"), "outer_id"))).alias("o"))
+    return found.select("id", F.transform("o", lambda x: x["outer_id"]).alias("scope"))
+
+
 def _first(nodes: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """One id for each key, by order: an aggregate, so that partial minima shrink the shuffle."""
     return nodes.groupBy(*keys).agg(F.min(F.struct(*order, "id"))["id"].alias(name))

@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import graph, layers, observe, rank, resolve, search
+from ..operators import graph, layers, observe, packs, rank, resolve, search
 from ..session import cut
 from ..streaming.sessions import change_sessions
 from . import adapters as A
+from . import code  # noqa: F401  its queries register themselves
+from .registry import QUERIES, SQL, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+__all__ = ["QUERIES", "SQL"]
 
 
 def big(*columns: str) -> list:
@@ -181,11 +169,12 @@ def token_treemap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH p AS (SELECT string_split(path, '/') AS ps, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM ({A.FILES_SQL}))
-SELECT DISTINCT array_to_string(ps[1:k], '/') AS path, repeat('  ', (k - 1)::INT) || ps[k] || CASE WHEN k = len(ps) THEN '' ELSE '/' END AS line FROM p""")
+SELECT row_number() OVER (ORDER BY key) AS place, line FROM (
+  SELECT DISTINCT list_transform(ps[1:k], lambda x, i: {{'file': k = len(ps) AND i = k, 'name': x}}) AS key, repeat('  ', (k - 1)::INT) || ps[k] || CASE WHEN k = len(ps) THEN '' ELSE '/' END AS line FROM p)""")
 def dir_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = A.files(spark, sf_dir).select(F.explode(text.ancestors(F.col("path"))).alias("a")).select("a.*").where("depth > 0").distinct()
-    name = F.element_at(F.split("path", "/"), -1)
-    return each.select("path", F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), name, F.when(F.col("is_leaf"), "").otherwise("/")).alias("line"))
+    """The tree without layers, in its order."""
+    files = A.files(spark, sf_dir).select("path", F.lit(None).cast("string").alias("layer"))
+    return packs.tree_lines(files, show_layers=False).select(F.col("place").cast("bigint").alias("place"), "line")
 
 
 # containment
@@ -230,11 +219,7 @@ around AS (SELECT i.id, o.id AS outer_id, o.start_line AS s, o.end_line AS e FRO
 SELECT id, string_agg(outer_id, ' > ' ORDER BY s, e DESC, outer_id) AS scope FROM around GROUP BY id""")
 def scip_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All strict enclosers of a span, outermost first."""
-    s = _spans(spark, sf_dir).select("file_path", "id", "start_line", "end_line")
-    o = s.select(F.col("file_path").alias("f"), F.col("id").alias("outer_id"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    inside = (F.col("file_path") == F.col("f")) & (F.col("s") <= F.col("start_line")) & (F.col("e") >= F.col("end_line")) & ((F.col("s") < F.col("start_line")) | (F.col("e") > F.col("end_line")))
-    found = s.join(o, inside).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("s", (-F.col("e")).alias("e"), "outer_id"))).alias("o"))
-    return found.select("id", F.array_join(F.transform("o", lambda x: x["outer_id"]), " > ").alias("scope"))
+    return resolve.scopes(_spans(spark, sf_dir)).select("id", F.array_join("scope", " > ").alias("scope"))
 
 
 # references
@@ -281,8 +266,10 @@ def edge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id FROM documents WHERE source IN (SELECT DISTINCT source FROM documents WHERE lang = 'de')")
 def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live are the sources that have a German document."""
-    d = A.table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return d.join(d.where("lang = 'de'").select("source"), "source", "left_semi").select("doc_id")
+    from ..sources.store import pruned
+
+    d = A.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), "lang")
+    return pruned({"files": d}, d.where("lang = 'de'"))["files"].select("doc_id")
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'fr' THEN upper(md5(text)) ELSE md5(text) END AS content_hash FROM documents")
@@ -508,10 +495,7 @@ def query_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = _fused(spark, sf_dir).orderBy(F.col("rrf").desc(), F.col("bm25_rank").asc_nulls_last(), F.col("graph_rank").asc_nulls_last()).limit(10)
     nodes, e = A.nodes(spark, sf_dir), A.kept_edges(spark, sf_dir)
     seed = cut(best.select((F.col("id") + 1).alias("id")).join(nodes, "id", "left_semi"))
-    source = e.join(F.broadcast(seed.withColumnRenamed("id", "target")), "target", "left_semi").select(F.col("source").alias("id"))
-    target = e.join(F.broadcast(seed.withColumnRenamed("id", "source")), "source", "left_semi").select(F.col("target").alias("id"))
-    every = seed.union(source).union(target).distinct()
-    return every.join(F.broadcast(seed.withColumn("hit", F.lit(True))), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("hit"))
+    return graph.neighbourhood(e, seed)
 
 
 # packs
@@ -570,15 +554,15 @@ def change_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(DISTINCT lang) FROM documents) AS languages,
+SELECT (SELECT count(*) FROM documents) AS files, (SELECT make_timestamp(max(doc_id) * 1000000) FROM documents) AS last_indexed, (SELECT count(DISTINCT lang) FROM documents) AS languages,
   count(*) FILTER (NOT regexp_matches(path, '\\.(md|txt)$')) AS ok, count(*) FILTER (regexp_matches(path, '\\.(md|txt)$')) AS degraded, 0::BIGINT AS failed, 0::BIGINT AS skipped,
   (SELECT count(*) FROM part) AS symbols, (SELECT count(*) FROM part WHERE p_retailprice > 0) AS ranked_symbols,
   (SELECT count(*) FROM ({A.LINKS_SQL})) AS edges, 0::BIGINT AS scip_edges, (SELECT count(*) FROM documents) AS chunks, (SELECT sum(n_chars)::BIGINT FROM documents) AS tokens
 FROM ({A.FILES_SQL})""")
 def file_stats_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _with_status(A.files(spark, sf_dir)).withColumn("indexed_at", F.lit(None).cast("timestamp"))
+    files = _with_status(A.files(spark, sf_dir)).withColumn("indexed_at", F.timestamp_seconds("doc_id"))
     chunks = A.table(spark, sf_dir, "documents").select(F.col("n_chars").alias("token_count"))
-    return observe.overview(files, A.nodes(spark, sf_dir), A.edges(spark, sf_dir), chunks).drop("last_indexed")
+    return observe.overview(files, A.nodes(spark, sf_dir), A.edges(spark, sf_dir), chunks)
 
 
 @query("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +125,8 @@ class Store:
         stream = fs.open(at)
         try:
             version, _, made = bytes(stream.readAllBytes()).decode().strip().partition(" ")
+        except (Py4JJavaError, UnicodeDecodeError):  # damaged
+            return None
         finally:
             stream.close()
         return f"{self.folder}/side/{name}/{made}" if version == SIDE_VERSION and made else None
@@ -133,7 +136,7 @@ class Store:
         try:
             at = self._side(name)
             return None if at is None else self.spark.read.parquet(f"{at}/rows")
-        except (AnalysisException, UnicodeDecodeError):
+        except AnalysisException:
             return None
 
     def side_meta(self, name: str) -> dict:

@@ -166,3 +166,101 @@ def test_snapshots(spark, tmp_path):
     now = s.read("hashes")
     assert s.meta()["n"] == 3
     assert {r.path: r.state for r in store.compared(rows, now).collect()} == {"a": "unchanged", "b": "changed"}
+
+
+def by_hand(nodes, links, start, depth, cap, reverse=True, drill=False):
+    """Layers of a walk node by node in the order of insertion; links are (edge_id, source, target, line)."""
+    near, far = (2, 1) if reverse else (1, 2)
+    place = {n[0]: k for k, n in enumerate(nodes)}
+    scope = {n[0]: n[2].rpartition("::")[0].lower() for n in nodes}
+    file = {n[0]: n[3] for n in nodes}
+
+    def siblings(i):
+        return sorted((n[0] for n in nodes if scope[i] and n[3] == file[i] and n[2].lower().startswith(scope[i] + "::")), key=lambda x: place[x])
+
+    visited, layers, edges, over, frontier = {start}, {start: 0}, [], False, [start]
+    for d in range(1, depth + 1):
+        own = siblings(start) if drill and d == 1 else []
+        seeds = {*frontier, *own}
+        step = [x for x in links if x[near] in seeds]
+        layer = dict.fromkeys([x[far] for x in step] + own)
+        if drill:
+            edges += step
+            for i in list(layer):
+                if len(layer) >= cap:
+                    over = True
+                    break
+                for s in siblings(i):
+                    if s in visited or s in layer:
+                        continue
+                    if len(layer) >= cap:
+                        over = True
+                        break
+                    layer[s] = None
+                    for x in [x for x in links if x[2] == s]:
+                        if x[1] not in visited and x[1] not in layer:
+                            if len(layer) >= cap:
+                                over = True
+                                break
+                            layer[x[1]] = None
+                        edges.append(x)
+            new = [i for i in layer if i not in visited]
+        else:
+            new = [i for i in layer if i not in visited]
+            over = over or len(new) > cap
+            new = new[:cap]
+            edges += [x for x in step if x[far] in visited or x[far] in new]
+        if not new:
+            break
+        visited |= set(new)
+        layers |= dict.fromkeys(new, d)
+        frontier = new
+    return layers, {(x[1], x[2], x[3]) for x in edges}, over
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_capped_walks_are_those_by_hand(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    names = [f"n{k:02}" for k in range(40)]
+    rows = [(x, x, rng.choice([f"C{k % 4}::{x}", f"c{k % 4}::d::{x}", x]), f"f{k % 2}") for k, x in enumerate(names)]
+    links = [(k + 1, rng.choice(names), rng.choice(names), rng.randint(1, 2)) for k in range(70)]
+    n = nodes(spark, rows)
+    e = spark.createDataFrame([(k, s, t, "calls", line, "heuristic") for k, s, t, line in links], EDGES)
+    for cap in (4, 200):
+        for walked, want in (
+            (graph.walk(e, "n00", 3, cap=cap, nodes=n), by_hand(rows, links, "n00", 3, cap)),
+            (graph.walk(e, "n00", 2, reverse=False, cap=cap), by_hand(rows, links, "n00", 2, cap, reverse=False)),
+            (graph.impact(n, e, "n00", 2, cap), by_hand(rows, links, "n00", 2, cap, drill=True)),
+        ):
+            got = ({r.id: r.depth for r in walked.nodes.collect()}, {(r.source, r.target, r.line) for r in walked.edges.collect()}, walked.truncated)
+            assert got == want, cap
+
+
+def test_impact_drills_into_visited_nodes_of_a_layer_too(spark):
+    n = nodes(spark, [("m", "m", "m", "f"), ("a", "a", "A::a", "f"), ("b", "b", "A::b", "f"), ("u", "u", "S::u", "g"), ("v", "v", "S::v", "g")])
+    e = edges(spark, [("a", "m"), ("u", "b")])
+    for cap in (50, None):
+        assert {r.id: r.depth for r in graph.impact(n, e, "m", 2, cap).nodes.collect()} == {"m": 0, "a": 1, "b": 1, "u": 1, "v": 2}, cap
+    with pytest.raises(ValueError):
+        graph.impact(n, e, "absent", 1)
+    with pytest.raises(ValueError):
+        graph.walk(e, "absent", 1, nodes=n)
+    null = spark.createDataFrame([(2, "a", "m", "calls", None, "x"), (1, "a", "m", "calls", -1, "x"), (3, "b", "m", "calls", None, "x")], EDGES)
+    assert sorted((r.source, r.line, r.edge_id) for r in resolve.distinct_edges(null).collect()) == [("a", -1, 1), ("b", None, 3)]
+
+
+def test_places_over_several_ranges(spark):
+    from galena.session import places
+
+    frame = spark.range(200_000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("k"), "id").repartition(7)
+    wrong = places(frame, "place", F.col("k"), F.col("id")).withColumn("want", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("k", "id"))).where("place <> want")
+    assert wrong.count() == 0
+
+
+def test_line_windows_take_time_in_proportion(spark):
+    text_of = lambda n: "\n".join(f"line {k}" for k in range(n))
+    frame = spark.createDataFrame([(text_of(20_000),)], "t string")
+    found = frame.select(F.explode(text.line_windows(F.col("t"), 64)).alias("w")).select("w.*").collect()
+    assert "\n".join(r.body for r in found) == text_of(20_000) and all(len(r.body) + 1 >= 64 for r in found[:-1])
