@@ -154,7 +154,7 @@ class Engine:
         listed = listed.withColumns({"node_count": F.coalesce("node_count", F.lit(0)), "indexed_at": now})
         stats = told.first()
         counts = {"nodes": nodes.count(), "chunks": chunks.count(), "resolved": stats.resolved, "unresolved": stats.unresolved}
-        return {"nodes": nodes, "edges": edges, "chunks": chunks, "files": listed, "unresolved_refs": refs}, counts
+        return {"nodes": nodes, "edges": edges, "chunks": chunks, "files": listed, "unresolved_refs": refs, "postings": search.postings(chunks)}, counts
 
     def write_incremental(self, changed: list[str]) -> None:
         """Only the rows of some paths anew, and no row of files that are gone."""
@@ -169,6 +169,7 @@ class Engine:
         made, _ = resolve.resolve(refs, every["nodes"], edges)
         first = (edges.agg(F.max("edge_id")).first()[0] or 0) + 1
         numbered = resolve.numbered(made, first).withColumn("col", F.col("col").cast("int"))
+        every["postings"] = search.postings(every["chunks"])
         self.store.write(every | {"edges": cut(edges.unionByName(numbered.select(edges.columns)))}, {k: v for k, v in self.store.meta().items() if k != "schema_version"})
 
     def sync(self) -> IndexStats:
@@ -202,16 +203,20 @@ class Engine:
         return stats
 
     def _replace(self, **new: DataFrame) -> None:
-        tables = {n: df for n, df in self._open().tables().items() if n != "meta"}
+        tables = {n: df for n, df in self._open().tables().items() if n != "meta"} | {"postings": self._index()}
         self.store.write(tables | new, {k: v for k, v in self.store.meta().items() if k != "schema_version"})
 
     # questions
 
+    def _index(self) -> DataFrame:
+        """The inverted index, which is written with the chunks."""
+        return self._table("postings")
+
     def search(self, query: str, top_k: int = 20, **options: object) -> DataFrame:
-        return search.search(self._table("chunks"), self._table("nodes"), self._table("edges"), query, top_k, **options)
+        return search.search(self._table("chunks"), self._table("nodes"), self._table("edges"), query, top_k, index=self._index(), **options)
 
     def search_debug(self, query: str, top_k: int = 20, **options: object) -> DataFrame:
-        return search.search_debug(self._table("chunks"), self._table("nodes"), self._table("edges"), query, top_k, **options)
+        return search.search_debug(self._table("chunks"), self._table("nodes"), self._table("edges"), query, top_k, index=self._index(), **options)
 
     def resolve_node_id(self, name: str) -> str:
         return graph.resolve_id(self._table("nodes"), name)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import occurrences, query_words
 from ..schema import MAX_DEPTH, RRF_K, SEED_NODES
-from ..session import cut, small_side
+from ..session import cut, places, small_side
 from .graph import hops
 from .observe import top_in_file
 from .resolve import overlapping
@@ -23,19 +23,44 @@ def recall_size(top_k: int) -> int:
     return min(3 * top_k, 60)
 
 
-def bm25(chunks: DataFrame, query: str, limit: int | None = None, body: str = "body") -> DataFrame:
+def postings(chunks: DataFrame, body: str = "body") -> DataFrame:
+    """The inverted index: gram and id for each distinct run of three characters of a chunk, whatever its case.
+
+    Written sorted by gram, the runs of a query read little of it; the sort also splits the most frequent."""
+    low = F.lower(F.col(body))
+    grams = F.regexp_extract_all(low, F.lit("(?s)(?=(...))"), F.lit(1))
+    rows = chunks.where(F.length(body) >= 3).select("id", F.explode(F.array_distinct(grams)).alias("gram"))
+    return rows.select("gram", "id").repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+
+
+def _holding(index: DataFrame, words: list[str]) -> DataFrame:
+    """id of the chunks that hold every run of three characters of some words: all that can hold the words."""
+    grams = sorted({w[i : i + 3] for w in words for i in range(len(w) - 2)})
+    found = index.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("n"))
+    return found.where(F.col("n") == len(grams)).select("id")
+
+
+def bm25(chunks: DataFrame, query: str, limit: int | None = None, body: str = "body", index: DataFrame | None = None) -> DataFrame:
     """id, score (higher is better) and bm25_rank of the chunks that hold every word of the query.
 
     A word is held as a substring, whatever its case; words of less than three characters don't count, and without any
     other nothing is found. One pass counts the chunks of each word and the mean length, a second scores the chunks that
-    pass; ties go by id.
+    pass; ties go by id. With an index (``postings``) of the chunks only those that may hold a word are read for it; the mean
+    length is still that of all.
     """
     words = [w for w in query_words(query) if len(w) >= 3] if len(query.strip()) >= 2 else []
     if not words:
         return chunks.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("bm25_rank")).limit(0)
     low, size = F.lower(F.col(body)), F.greatest(F.length(body) - 2, F.lit(0))
     distinct = list(dict.fromkeys(words))
-    seen = chunks.agg(F.count("*").alias("n"), F.sum(size).alias("size"), *(F.count_if(F.contains(low, F.lit(w))).alias(f"n{k}") for k, w in enumerate(distinct))).first()
+    counts = [F.count_if(F.contains(low, F.lit(w))).alias(f"n{k}") for k, w in enumerate(distinct)]
+    if index is None:
+        seen = chunks.agg(F.count("*").alias("n"), F.sum(size).alias("size"), *counts).first()
+    else:
+        sizes = chunks.agg(F.count("*").alias("n"), F.sum(size).alias("size"))
+        each = reduce(DataFrame.unionAll, (_holding(index, [w]) for w in distinct)).distinct()
+        seen = sizes.crossJoin(chunks.join(small_side(cut(each)), "id", "left_semi").agg(*counts)).first()
+        chunks = chunks.join(small_side(cut(_holding(index, distinct))), "id", "left_semi")
     if not seen.n or not seen["size"] or not all(seen[f"n{k}"] for k in range(len(distinct))):
         return chunks.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("bm25_rank")).limit(0)
     norm = K1 * (1 - B + B * size / (float(seen["size"]) / seen.n))
@@ -67,7 +92,8 @@ def graph_ranks(reached: DataFrame, chunks: DataFrame, nodes: DataFrame) -> Data
     pairs = overlapping(chunks, there, "chunk", "node").join(there.select(F.col("id").alias("node"), "hop", "pagerank"), "node")
     best = pairs.groupBy(F.col("chunk").alias("id")).agg(F.min(F.struct("hop", (-F.col("pagerank")).alias("minus"))).alias("b"))
     placed = best.join(chunks.select("id", "start_line"), "id").select("id", F.col("b.hop").alias("hop"), (-F.col("b.minus")).alias("pagerank"), "start_line")
-    return placed.withColumn("graph_rank", F.row_number().over(W.orderBy("hop", F.col("pagerank").desc(), "start_line", "id"))).select("id", "hop", "graph_rank")
+    ranked = places(placed, "graph_rank", F.col("hop"), F.col("pagerank").desc(), F.col("start_line"), F.col("id"))
+    return ranked.select("id", "hop", F.col("graph_rank").cast("int").alias("graph_rank"))
 
 
 def fuse(by_text: DataFrame, by_graph: DataFrame, text_weight: float = 1.0, graph_weight: float = 1.0) -> DataFrame:
@@ -77,21 +103,24 @@ def fuse(by_text: DataFrame, by_graph: DataFrame, text_weight: float = 1.0, grap
     return both.withColumn("rrf", part(text_weight, "bm25_rank") + part(graph_weight, "graph_rank"))
 
 
-def search(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, query: str, top_k: int = 20, text_weight: float = 1.0, graph_weight: float = 1.0, depth: int = 1) -> DataFrame:
+def search(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, query: str, top_k: int = 20, text_weight: float = 1.0, graph_weight: float = 1.0, depth: int = 1, index: DataFrame | None = None) -> DataFrame:
     """The top_k fused chunks with their scores, hop and related nodes, best first.
 
     The graph is asked from the hits only, so without a hit there is nothing; with depth 0 there are the hits alone.
     """
-    fused = search_debug(chunks, nodes, edges, query, top_k, text_weight, graph_weight, depth)
+    fused = search_debug(chunks, nodes, edges, query, top_k, text_weight, graph_weight, depth, index)
     order = [F.col("rrf").desc(), F.col("bm25_rank").asc_nulls_last(), F.col("graph_rank").asc_nulls_last()]
     best = fused.orderBy(*order).limit(top_k)
-    told = best.join(chunks.select("id", "file_path", "language", "start_line", "end_line", "body"), "id").join(small_side(top_in_file(nodes)), "file_path", "left")
+    best = cut(best)  # top_k rows
+    told = cut(chunks.select("id", "file_path", "language", "start_line", "end_line", "body").join(F.broadcast(best), "id"))
+    files = F.broadcast(told.select("file_path").distinct())
+    told = told.join(F.broadcast(top_in_file(nodes.join(files, "file_path", "left_semi"))), "file_path", "left")
     return told.withColumn("vector", F.lit(0.0)).orderBy(*order)
 
 
-def search_debug(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, query: str, top_k: int = 20, text_weight: float = 1.0, graph_weight: float = 1.0, depth: int = 1) -> DataFrame:
+def search_debug(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, query: str, top_k: int = 20, text_weight: float = 1.0, graph_weight: float = 1.0, depth: int = 1, index: DataFrame | None = None) -> DataFrame:
     """Every fused chunk with score, both ranks (null where it isn't in a list), hop and rrf."""
-    hits = cut(bm25(chunks, query, recall_size(top_k)))
+    hits = cut(bm25(chunks, query, recall_size(top_k), index=index))
     depth = max(0, min(MAX_DEPTH, depth))
     if depth == 0 or hits.isEmpty():
         by_graph = hits.select("id", F.lit(0).alias("hop"), F.lit(0).alias("graph_rank")).limit(0)

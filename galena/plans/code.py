@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..functions.tokens import counted
-from ..operators import graph, layers, observe, packs, resolve
+from ..operators import graph, layers, observe, packs, resolve, search
 from ..session import cut
 from ..sources import parse, scip
 from ..streaming.watch import is_watched
 from . import adapters as A
+from .registry import bm25_sql as _bm25_sql
 from .registry import query
 
 #: What each part says: its function in three lines.
@@ -243,3 +244,16 @@ def scip_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT count(*) FROM ({A.LINKS_SQL}) l JOIN part ON l.source = p_partkey WHERE p_brand IN (SELECT p_brand FROM made JOIN part ON source = p_partkey)) AS edges_replaced""")
 def scip_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _imported(spark, sf_dir).stats
+
+
+@query("SELECT gram, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS gram FROM documents) GROUP BY gram")
+def postings_by_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by run of three characters in the inverted index."""
+    return search.postings(A.whole_chunks(spark, sf_dir)).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query(_bm25_sql(["license"], 60))
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = A.whole_chunks(spark, sf_dir)
+    found = search.bm25(chunks, "License", 60, index=cut(search.postings(chunks)))
+    return found.select("id", F.round("score", 6).alias("score"), "bm25_rank")

@@ -13,6 +13,7 @@ from ..streaming.sessions import change_sessions
 from . import adapters as A
 from . import code  # noqa: F401  its queries register themselves
 from .registry import QUERIES, SQL, query
+from .registry import bm25_sql as _bm25_sql
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -24,18 +25,6 @@ def big(*columns: str) -> list:
 # search
 
 
-def _bm25_sql(words: list[str], limit: int | None) -> str:
-    tf = {w: f"(length(lo) - length(replace(lo, '{w}', ''))) / length('{w}')" for w in words}
-    idf = lambda k: f"greatest(ln((n - n{k} + 0.5) / (n{k} + 0.5)), CASE WHEN ln((n - n{k} + 0.5) / (n{k} + 0.5)) <= 0 THEN 1e-6 END)"
-    score = " + ".join(f"{idf(k)} * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * l / (s / n)))" for k in range(len(words)))
-    return f"""
-WITH low AS (SELECT doc_id AS id, lower(text) AS lo, greatest(length(text) - 2, 0) AS l FROM documents),
-stats AS (SELECT count(*)::DOUBLE AS n, sum(l)::DOUBLE AS s, {", ".join(f"count(*) FILTER (contains(lo, '{w}')) AS n{k}" for k, w in enumerate(words))} FROM low),
-tfs AS (SELECT id, l, {", ".join(f"({tf[w]})::DOUBLE AS t{k}" for k, w in enumerate(words))} FROM low WHERE {" AND ".join(f"contains(lo, '{w}')" for w in words)}),
-scored AS (SELECT id, {score} AS score FROM tfs, stats)
-SELECT id, round(score, 6) AS score{", (row_number() OVER (ORDER BY score DESC, id))::INT AS bm25_rank" if limit else ""} FROM scored{f" ORDER BY scored.score DESC, id LIMIT {limit}" if limit else ""}"""
-
-
 @query(_bm25_sql(["license"], 60))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(A.whole_chunks(spark, sf_dir), "License", search.recall_size(20)).select("id", F.round("score", 6).alias("score"), "bm25_rank")

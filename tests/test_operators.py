@@ -116,6 +116,9 @@ def test_search(spark):
         assert [r.id for r in search.bm25(chunks, query, 10).collect()] == ["c1"]
     for query in ("", " ", "x", "absent words"):
         assert search.bm25(chunks, query, 10).count() == 0
+    index = search.postings(chunks).cache()
+    for query in ("handleRequestNow", "words", "other in words", "absent words", "thiOne", "the kind"):
+        assert search.bm25(chunks, query, index=index).collect() == search.bm25(chunks, query).collect()
     got = search.search(chunks, n, e, "handleRequest", 5).collect()
     assert [(r.id, r.bm25_rank, r.graph_rank) for r in got] == [("c1", 1, None), ("c2", None, 1)]
     assert got[1].rrf == pytest.approx(1 / 61)
