@@ -48,7 +48,7 @@ GROUP_POINTS = 1 << 21
 MOST_SEGMENTS = 3
 DEEP_POINTS = 1 << 16
 #: Candidates that are compared at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 def simhash(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +58,17 @@ def simhash(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         at, h = kernels.words(texts[i:j])
         if not len(h):
             continue
-        first = np.unique(kernels.mix64(h + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-        first.sort()
+        # the first place of each word of a text
+        first = ~pd.Series(kernels.mix64(h + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).duplicated().to_numpy()
         at, h = at[first], h[first]
         starts = np.flatnonzero(np.diff(at, prepend=-1))
         which, count = at[starts], np.diff(starts, append=len(at))
         signs = np.stack([kernels.mix64(h), kernels.mix64(h ^ np.uint64(0xD6E8FEB86659FD93))], 1)
-        ones = np.add.reduceat(np.unpackbits(signs.view(np.uint8), axis=1), starts, axis=0, dtype=np.int32)
+        # eight bits are added at once, a byte each, over runs of at most 255 words
+        bits = np.unpackbits(signs.view(np.uint8), axis=1).view(np.uint64)
+        runs = np.flatnonzero((np.arange(len(at)) - np.repeat(starts, count)) % 255 == 0)
+        sums = np.add.reduceat(bits, runs, axis=0).view(np.uint8)
+        ones = np.add.reduceat(sums, np.searchsorted(runs, starts), axis=0, dtype=np.int32)
         out[i + which] = np.packbits(2 * ones > count[:, None], axis=1).view(np.uint64)
         some[i + which] = True
     return out, some
