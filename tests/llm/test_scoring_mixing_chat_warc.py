@@ -95,6 +95,21 @@ def test_rates_meet_the_constraints_and_those_of_direct_minimisation(spark, docs
     assert r[some] == pytest.approx(np.exp(x @ theta), rel=1e-4)
 
 
+def test_rates_without_a_target_and_with_many_sources(spark, docs, prose):
+    rows = corpus(prose)
+    assert {r.rate for r in mixing.rates(docs(rows), targets={"absent": 1.0}).where("n_tokens > 0").collect()} == {0.0}
+    assert {r.copies for r in mixing.rates(docs(rows), targets={"a": 0.0}).where("n_tokens > 0").collect()} == {0}
+    many = docs([(i, t, lang, f"{s}{i % 60}") for i, t, lang, s in rows])
+    found = mixing.rates(many).collect()
+    tokens, kept = Counter(), Counter()
+    for r in found:
+        tokens[r.source] += r.n_tokens
+        kept[r.source] += r.n_tokens * r.rate
+    whole = sum(n**0.5 for n in tokens.values())
+    for s, n in kept.items():
+        assert n / sum(tokens.values()) == pytest.approx(tokens[s] ** 0.5 / whole, rel=1e-5)
+
+
 def test_mixed_repeats_rows_by_their_copies(spark, docs, prose):
     rows = corpus(prose)[:300]
     frame = docs(rows).withColumn("copies", F.lit(9)).withColumn("copy", F.lit("x"))
