@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from ..functions.text import ascii_lower
 from ..schema import DRILL_CAP, LAYER_CAP
 from ..session import cut, small_side
+from .observe import with_defaults
 from .resolve import distinct_edges
 
 
@@ -24,7 +25,7 @@ class Walk:
 
     def layers(self, nodes: DataFrame) -> DataFrame:
         """The rows of the nodes with their depth: layer after layer, in each by start line and id."""
-        return nodes.join(small_side(self.nodes), "id").orderBy("depth", "start_line", "id")
+        return with_defaults(nodes).join(small_side(self.nodes), "id").orderBy("depth", "start_line", "id")
 
 
 def calls(edges: DataFrame) -> DataFrame:

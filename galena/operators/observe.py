@@ -48,6 +48,12 @@ def file_importance(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("file_path").agg(F.max("pagerank").alias("importance"))
 
 
+def with_defaults(nodes: DataFrame) -> DataFrame:
+    """nodes with 0 for missing lines, offsets and ranks and an empty text for a missing language or kind; the rest stays null."""
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("start_line", "end_line", "start_byte", "end_byte", "pagerank") if c in nodes.columns}
+    return nodes.withColumns(zero | {c: F.coalesce(F.col(c), F.lit("")) for c in ("language", "kind") if c in nodes.columns})
+
+
 def node_detail(nodes: DataFrame, node: Column) -> DataFrame:
     """The row of a node with its place among all ranks."""
     one = nodes.where(F.col("id") == node)
@@ -72,7 +78,7 @@ def top_nodes(nodes: DataFrame, n: int, file_path: str | None = None) -> DataFra
     """The n highest nodes, at least one, of all or of one file."""
     if file_path is not None:
         nodes = nodes.where(F.col("file_path") == file_path)
-    return nodes.orderBy(F.col("pagerank").desc(), "id").limit(max(1, n))
+    return with_defaults(nodes).orderBy(F.col("pagerank").desc(), "id").limit(max(1, n))
 
 
 def top_in_file(nodes: DataFrame, k: int = 5) -> DataFrame:

@@ -257,3 +257,13 @@ def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = A.whole_chunks(spark, sf_dir)
     found = search.bm25(chunks, "License", 60, index=cut(search.postings(chunks)))
     return found.select("id", F.round("score", 6).alias("score"), "bm25_rank")
+
+
+@query(f"""WITH e AS MATERIALIZED ({A.LINKS_SQL}), l0 AS (SELECT max_by(target, (n, -target)) AS id FROM (SELECT target, count(*) AS n FROM e GROUP BY target)),
+l1 AS (SELECT DISTINCT source AS id FROM e WHERE target IN (SELECT id FROM l0) AND source NOT IN (SELECT id FROM l0))
+SELECT n.id, name, start_line, 0 AS end_byte, depth FROM ({A.NODES_SQL}) n JOIN (SELECT id, 0 AS depth FROM l0 UNION ALL SELECT id, 1 FROM l1) d ON n.id = d.id""")
+def caller_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most called part and its callers as rows of nodes, missing offsets as 0."""
+    nodes, e = A.nodes(spark, sf_dir).withColumn("end_byte", F.lit(None).cast("int")), A.kept_edges(spark, sf_dir)
+    most = e.groupBy("target").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "target").first().target
+    return graph.walk(e, most, 1, cap=None, nodes=nodes).layers(nodes).select("id", "name", "start_line", "end_byte", "depth")
