@@ -12,14 +12,18 @@ BIN = 128
 
 
 def innermost(points: DataFrame, symbols: DataFrame, key: str = "ref_id", order: str = "id") -> DataFrame:
-    """Of each point (key, file_path, line) the id of the smallest symbol around it, null outside all.
+    """Of each point (key, file_path, line) the id of the smallest symbol around it, null outside all; the key tells points apart.
 
-    Smallest by lines, then by offsets, then by start and ``order``. File and bin of lines make it a hash join with the range as residual.
+    Smallest by lines, then by offsets, then by start and ``order``. File and bin of lines make it a hash join with the range
+    as residual. Of symbols that cover the same lines of a bin only the smallest is joined, and every line is asked once, so
+    the pairs of a bin don't grow with the symbols and points that share its lines.
     """
-    s = _binned(symbols.select(F.col("file_path").alias("f"), "id", "start_line", "end_line", "start_byte", "end_byte", F.col(order).alias("o")), "start_line", "end_line")
-    around = (F.col("file_path") == F.col("f")) & (F.floor(F.col("line") / BIN) == F.col("bin")) & F.col("line").between(F.col("start_line"), F.col("end_line"))
-    size = F.struct(F.col("end_line") - F.col("start_line"), F.col("end_byte") - F.col("start_byte"), "start_byte", "o")
-    return points.join(s, around, "left").groupBy(key).agg(F.min_by("id", F.when(F.col("id").isNotNull(), size)).alias("from_node_id"))
+    size = F.struct((F.col("end_line") - F.col("start_line")).alias("lines"), (F.col("end_byte") - F.col("start_byte")).alias("bytes"), "start_byte", F.col(order).alias("o"), "id")
+    s = _binned(symbols.select(F.col("file_path").alias("f"), "start_line", "end_line", size.alias("size")), "start_line", "end_line")
+    s = s.groupBy("f", "bin", F.greatest("start_line", F.col("bin") * BIN).alias("first"), F.least("end_line", F.col("bin") * BIN + BIN - 1).alias("last")).agg(F.min("size").alias("size"))
+    around = (F.col("file_path") == F.col("f")) & (F.floor(F.col("line") / BIN) == F.col("bin")) & F.col("line").between(F.col("first"), F.col("last"))
+    found = points.select("file_path", "line").distinct().join(s, around).groupBy("file_path", "line").agg(F.min("size")["id"].alias("from_node_id"))
+    return points.join(found, ["file_path", "line"], "left").select(key, "from_node_id")
 
 
 def _binned(spans: DataFrame, first: str, last: str, name: str = "bin") -> DataFrame:

@@ -188,20 +188,32 @@ def import_index(documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> Im
     symbols define nothing. An edge (source, target, line) is made once, for the first document that has it. A file that
     gets an edge loses its heuristic ones; others keep theirs. An error without nodes.
     """
+    each = documents.select("doc", "file_path", F.posexplode("occurrences").alias("place", "o")).select("doc", "file_path", "place", "o.*")
+    related = documents.select("doc", "file_path", F.explode("relations").alias("r")).select("doc", "file_path", "r.*")
+    counted = documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size("occurrences")), F.lit(0)).alias("occurrences"), F.coalesce(F.sum(F.size("relations")), F.lit(0)).alias("relationships"))
+    return import_rows(each, related, counted, nodes, edges)
+
+
+def import_rows(each: DataFrame, related: DataFrame, counted: DataFrame, nodes: DataFrame, edges: DataFrame) -> Imported:
+    """``import_index`` of documents in rows, so that no document needs to be one value.
+
+    ``each`` has the occurrences (doc, file_path, symbol, roles, first, last) with their place, any value that orders those
+    of a document; ``related`` the relations with their doc and file_path; ``counted`` one row: documents, occurrences and
+    relationships."""
     if nodes.isEmpty():
         raise ValueError("no nodes: index before importing")
-    each = documents.select("doc", "file_path", F.posexplode("occurrences").alias("place", "o")).select("doc", "file_path", "place", "o.*")
     defines = F.col("roles").bitwiseAND(DEFINITION) != 0
     definitions = each.where(defines & ~F.startswith("symbol", F.lit("local ")) & F.col("first").isNotNull())
     lines = definitions.groupBy("doc", "symbol").agg(F.min_by("first", "place").alias("def_line"))
 
-    related = documents.select("doc", "file_path", F.explode("relations").alias("r")).select("doc", "file_path", "r.*")
     related = related.where("is_reference or is_implementation").join(lines, ["doc", "symbol"], "left")
     by_relation = _sources(related, nodes).select("doc", "file_path", "source", F.col("target").alias("target_symbol"), (F.col("def_line") + 1).alias("line"))
 
     # definitions as spans and references as points of their document
     spans = definitions.select(F.col("doc").alias("file_path"), F.struct("symbol", F.col("first").alias("def_line")).alias("id"), F.col("first").alias("start_line"), F.col("last").alias("end_line"), F.lit(0).alias("start_byte"), F.lit(0).alias("end_byte"), "place")
-    points = each.where(~defines & F.col("first").isNotNull()).select(F.struct("doc", "place", "file_path", "symbol", "first").alias("ref_id"), F.col("doc").alias("file_path"), F.col("first").alias("line"))
+    # references to one symbol from one line make the same edge
+    points = each.where(~defines & F.col("first").isNotNull()).select("doc", "file_path", "symbol", "first").distinct()
+    points = points.select(F.struct("doc", "file_path", "symbol", "first").alias("ref_id"), F.col("doc").alias("file_path"), F.col("first").alias("line"))
     around = innermost(points, spans, order="place").where("from_node_id is not null")
     asked = around.select("ref_id.doc", "ref_id.file_path", F.col("ref_id.symbol").alias("target_symbol"), F.col("ref_id.first").alias("at"), F.col("from_node_id.symbol").alias("symbol"), F.col("from_node_id.def_line").alias("def_line"))
     by_occurrence = _sources(asked, nodes).select("doc", "file_path", "source", "target_symbol", (F.col("at") + 1).alias("line"))
@@ -214,6 +226,5 @@ def import_index(documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> Im
     marked = edges.join(inside, "source", "left").withColumn("gone", F.coalesce("covered", F.lit(False)) & (F.col("provenance") == "heuristic"))
     kept = marked.where(~F.col("gone")).select(edges.columns)
     made = new.select("source", "target", F.lit("calls").alias("kind"), F.col("line").cast("int").alias("line"), F.lit("scip").alias("provenance"))
-    counted = documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size("occurrences")), F.lit(0)).alias("occurrences"), F.coalesce(F.sum(F.size("relations")), F.lit(0)).alias("relationships"))
     stats = counted.crossJoin(made.agg(F.count("*").alias("edges_inserted"))).crossJoin(marked.agg(F.count_if("gone").alias("edges_replaced")))
     return Imported(made, kept, stats)

@@ -49,6 +49,21 @@ def test_references_find_the_innermost_symbol_and_the_nearest_name(spark):
     assert sorted(r.edge_id for r in resolve.numbered(found, 10).collect()) == [10, 11, 12]
 
 
+def test_symbols_that_share_lines_are_not_pairs_with_all_points(spark):
+    import time
+
+    # 40 000 symbols and points in 50 lines of one file: as pairs 1.6 billion
+    n = spark.range(40_000).select(F.col("id").cast("string").alias("id"), F.lit("f").alias("file_path"), (F.col("id") % 50 + 1).cast("int").alias("start_line"), (F.col("id") % 50 + 6).cast("int").alias("end_line"), F.lit(0).alias("start_byte"), F.lit(0).alias("end_byte"), F.col("id").alias("place"))
+    points = spark.range(40_000).select(F.col("id").alias("ref_id"), F.lit("f").alias("file_path"), (F.col("id") % 56 + 1).cast("int").alias("line"))
+    began = time.monotonic()
+    # start doesn't decide between equal sizes, but offsets and place do: the least place around the line
+    wrong = resolve.innermost(points, n, order="place").join(points, "ref_id").where(F.col("from_node_id").cast("int") != F.greatest(F.col("line") - 6, F.lit(0)))
+    assert wrong.count() == 0 and time.monotonic() - began < 30
+    far = nodes(spark, [("all", "a", "a", "f", 1, 1000), ("mid", "m", "m", "f", 100, 300), ("low", "l", "l", "f", 250, 310), ("one", "o", "o", "f", 128, 128)])
+    points = spark.createDataFrame([(k, "f", k) for k in (1, 127, 128, 129, 200, 250, 256, 301, 999, 1001)], "ref_id bigint, file_path string, line int")
+    assert {r.ref_id: r.from_node_id for r in resolve.innermost(points, far).collect()} == {1: "all", 127: "mid", 128: "one", 129: "mid", 200: "mid", 250: "low", 256: "low", 301: "low", 999: "all", 1001: None}
+
+
 def test_walks(spark):
     n = nodes(spark, [(x, x, x, "f") for x in "abcd"])
     e = edges(spark, [("a", "b"), ("b", "c"), ("b", "c")])
