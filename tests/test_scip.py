@@ -111,3 +111,27 @@ def test_import(spark, tmp_path):
     assert stats == {"documents": 2, "occurrences": 9, "relationships": 3, "edges_inserted": 3, "edges_replaced": 1}
     with pytest.raises(ValueError):
         imported(spark, tmp_path, index(first), [])
+
+
+def test_many_references_from_one_line(spark):
+    import time
+
+    # each of 30 000 definitions of a document spans six of its 55 lines, and 60 000 references stand on them
+    n = spark.range(1, 30_001).select("id", F.lit("n").alias("name"), F.lit("f").alias("file_path"), (F.col("id") % 50 + 1).alias("start_line"))
+    e = spark.range(1, 30_001).select(F.col("id").alias("source"), (F.col("id") % 7 + 1).alias("target"), F.lit("calls").alias("kind"), F.lit("heuristic").alias("provenance"))
+    row = [F.lit(0).alias("doc"), F.lit("f").alias("file_path")]
+    defines = n.select(*row, F.col("id").alias("place"), F.lit("s m p v `f`/n().").alias("symbol"), F.lit(1).alias("roles"), (F.col("start_line") - 1).cast("int").alias("first"), (F.col("start_line") + 4).cast("int").alias("last"))
+    refers = spark.range(60_000).select(*row, (F.col("id") + 100_000).alias("place"), F.lit("s m p v `f`/n().").alias("symbol"), F.lit(8).alias("roles"), (F.col("id") % 55).cast("int").alias("first"), (F.col("id") % 55).cast("int").alias("last"))
+    related = spark.createDataFrame([], "doc int, file_path string, symbol string, target string, is_reference boolean, is_implementation boolean")
+    each = defines.unionByName(refers)
+    counted = each.agg(F.lit(1).alias("documents"), F.count("*").alias("occurrences"), F.lit(0).alias("relationships"))
+    began = time.monotonic()
+    found = scip.import_rows(each, related, counted, n, e)
+    # around a line the first definition is the least place of those that start at most five lines above; the target is the node of the first line
+    want = set()
+    for line in range(55):
+        k = min((s - 1 if s > 1 else 50) for s in range(max(1, line - 4), min(50, line + 1) + 1))
+        want.add((k, 50, line + 1))
+    assert {(r.source, r.target, r.line) for r in found.edges.collect()} == want
+    assert found.stats.first()[:] == (1, 90_000, 0, 55, 30_000)
+    assert time.monotonic() - began < 60
