@@ -54,13 +54,18 @@ def scope(qualified: Column) -> Column:
 
 
 def siblings(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """id and sibling: the symbols of the same file below the scope of each of the nodes ``of``, itself and nested ones too.
+    """sibling and k: once each symbol of the same file below the scope of any of the nodes ``of`` (id, k), itself and nested ones too, with the least k of these.
 
-    A node outside any scope has none. Case of ASCII letters doesn't count.
+    A node outside any scope has none. Case of ASCII letters doesn't count. A symbol meets the scopes that its own name
+    begins with, each once however many nodes are in it.
     """
-    own = nodes.join(of.select("id"), "id", "left_semi").select("id", "file_path", scope(F.col("qualified_name")).alias("scope")).where("scope <> ''")
-    other = nodes.select(F.col("id").alias("sibling"), F.col("file_path").alias("f"), ascii_lower(F.col("qualified_name")).alias("qn"))
-    return other.join(small_side(own), (F.col("file_path") == F.col("f")) & F.col("qn").startswith(F.col("scope"))).select("id", "sibling")
+    own = nodes.join(of.select("id", "k"), "id").select("file_path", scope(F.col("qualified_name")).alias("scope"), "k").where("scope <> ''")
+    own = cut(own.groupBy("file_path", "scope").agg(F.min("k").alias("k")))
+    qn = ascii_lower(F.col("qualified_name"))
+    ends = F.filter(F.sequence(F.lit(2), F.length(qn)), lambda i: F.substring(qn, i - 1, F.lit(2)) == "::")
+    around = F.transform(ends, lambda i: F.substring(qn, F.lit(1), i))
+    other = nodes.where(F.contains("qualified_name", F.lit("::"))).select(F.col("id").alias("sibling"), "file_path", F.explode(around).alias("scope"))
+    return other.join(small_side(own), ["file_path", "scope"]).groupBy("sibling").agg(F.min("k").alias("k"))
 
 
 def walk(edges: DataFrame, start: str | int | DataFrame, depth: int, reverse: bool = True, cap: int | None = LAYER_CAP, nodes: DataFrame | None = None) -> Walk:
@@ -120,7 +125,7 @@ def impact(nodes: DataFrame, edges: DataFrame, start: str | int | DataFrame, dep
     kind = links.schema["source"].dataType.simpleString()
     visited = _begin(spark, start, kind)
     frontier, found, truncated = visited.select("id"), [], False
-    first = cut(siblings(nodes, frontier).select(F.col("sibling").alias("id")).distinct())
+    first = cut(siblings(nodes, frontier.withColumn("k", F.lit(0))).select(F.col("sibling").alias("id")))
     for d in range(1, depth + 1):
         seeds = frontier.unionAll(first).distinct() if d == 1 else frontier
         step = links.join(small_side(seeds.select(F.col("id").alias("target"))), "target", "left_semi").select(links.columns)
@@ -130,7 +135,7 @@ def impact(nodes: DataFrame, edges: DataFrame, start: str | int | DataFrame, dep
         layer = cut(layer)
         found.append(step)
         if cap is None:
-            beside = siblings(nodes, layer).select(F.col("sibling").alias("id")).distinct()
+            beside = siblings(nodes, layer.withColumn("k", F.lit(0))).select(F.col("sibling").alias("id"))
             for there in (visited, layer):
                 beside = beside.join(small_side(there.select("id")), "id", "left_anti")
             beside = cut(beside)
@@ -163,10 +168,10 @@ def _drill(nodes: DataFrame, links: DataFrame, layer: DataFrame, visited: DataFr
     placed = cut(placed.select("id", "k"))
     have = {r.id for r in placed.collect()}
     # a sibling counts where it comes first; fewer than cap are taken as new and fewer than cap come as callers of others
-    other = siblings(nodes, placed).join(placed, "id")
+    other = siblings(nodes, placed)
     for there in (visited, placed):
         other = other.join(small_side(there.select(F.col("id").alias("sibling"))), "sibling", "left_anti")
-    first = other.groupBy("sibling").agg(F.min("k").alias("k")).join(nodes.select(F.col("id").alias("sibling"), "start_line"), "sibling")
+    first = other.join(nodes.select(F.col("id").alias("sibling"), "start_line"), "sibling")
     new_siblings = {r.sibling: r.k for r in first.orderBy("k", "start_line", "sibling").limit(2 * cap + 1).collect()}
     callers: dict = {}
     if new_siblings:

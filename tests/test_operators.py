@@ -269,6 +269,14 @@ def test_impact_drills_into_visited_nodes_of_a_layer_too(spark):
     assert sorted((r.source, r.line, r.edge_id) for r in resolve.distinct_edges(null).collect()) == [("a", -1, 1), ("b", None, 3)]
 
 
+def test_siblings_of_many_nodes_of_one_scope_come_once(spark):
+    many = spark.range(20_000).select(F.col("id"), F.lit("f").alias("file_path"), F.concat(F.lit("A::"), F.col("id").cast("string")).alias("qualified_name"))
+    assert graph.siblings(many, many.withColumn("k", F.col("id") + 5)).agg(F.count("*"), F.min("k"), F.max("k")).first()[:] == (20_000, 5, 5)
+    odd = nodes(spark, [("a", "a", "X:::a", "f"), ("b", "b", "x:::C::b", "f"), ("c", "c", "X::c", "f"), ("d", "d", "d", "f"), ("e", "e", "X::e", "g"), ("n", "n", None, "f")])
+    found = lambda i: {r.sibling for r in graph.siblings(odd, odd.where(F.col("id") == i).withColumn("k", F.lit(0))).collect()}
+    assert [found(i) for i in "abcden"] == [{"a", "b"}, {"b"}, {"a", "b", "c"}, set(), {"e"}, set()]
+
+
 def test_places_over_several_ranges(spark):
     from galena.session import places
 
