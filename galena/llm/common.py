@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir, small_side
+from ..session import BATCH_BYTES, bounded, cut, shared_dir, small_side
 
-__all__ = ["bounded", "cut", "fresh", "id_hash", "scratch", "shared_dir", "small_side", "table"]
-
-#: Bytes of rows that go to Python at once.
-BATCH_BYTES = 4 << 20
+__all__ = ["BATCH_BYTES", "bounded", "cut", "fresh", "id_hash", "scratch", "shared_dir", "small_side", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, whose rows go to Python in Arrow batches of at most ``BATCH_BYTES`` (a longer text is a batch of its own).
-
-    Without it a batch has 10 000 rows however long their texts are, several times over in the memory of the JVM and of the
-    Python worker. A lower setting of the session stays."""
-    conf = df.sparkSession.conf
-    now = re.fullmatch(r"(\d+)([kmg]?)b?", conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m").lower())
-    if now is None or int(now[1]) << 10 * " kmg".index(now[2] or " ") > BATCH_BYTES:
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path for a written table in the shared folder."""
     return f"{shared_dir(spark)}/galena-{what}-{uuid.uuid4().hex}"
