@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from ..functions.ids import short_id
 from ..functions.text import ancestors, escape_xml, fence, fence_language, glob_regex
 from ..functions.tokens import token_count
 from ..schema import CONTAINERS, LANGUAGES, LAYERS, TOKEN_BUDGET
-from ..session import cut, places, small_side
+from ..session import BATCH_BYTES, bounded, cut, places, small_side
+from ..sources.parse import Rows, nested
 from .layers import backfilled, importance
 
 NAME = "galena"
@@ -23,6 +25,7 @@ INDENTED = ("python",)
 COMMENT = {"python": "#"}
 EXPAND = [("id", pa.string()), ("path", pa.string()), ("name", pa.string()), ("start_byte", pa.int32()), ("end_byte", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32())]
 RENDERED = pa.schema([("path", pa.string()), ("language", pa.string()), ("full", pa.string()), ("skeleton", pa.string()), ("outline", pa.string()), ("expand", pa.list_(pa.struct(EXPAND))), ("n_symbols", pa.int32())])
+TEXTS = pa.schema([("id", pa.string()), ("path", pa.string()), ("name", pa.string()), ("text", pa.string())])
 RENDERED_DDL = "path string, language string, full string, skeleton string, outline string, expand array<struct<id string, path string, name string, start_byte int, end_byte int, start_line int, end_line int>>, n_symbols int"
 
 
@@ -42,22 +45,37 @@ def outline(symbols: Column) -> Column:
     return F.array_join(F.transform(ordered, line), "\n")
 
 
-def tree_of(symbols: list[dict]) -> list[tuple[dict, list]]:
-    """Symbols as nodes and their children: the parent is the nearest one around."""
-    roots: list = []
+def trees_of(symbols: Iterable[dict]) -> Iterator[tuple[dict, list]]:
+    """Outermost symbols, one after the other, as nodes and their children: the parent is the nearest one around."""
     stack: list = []
-    for s in sorted(symbols, key=lambda s: (s["start_byte"], -s["end_byte"])):
+    root = None
+    for s in symbols:
         node = (s, [])
         while stack and not (stack[-1][0]["end_byte"] >= s["end_byte"] and stack[-1][0]["start_byte"] <= s["start_byte"]):
             stack.pop()
-        (stack[-1][1] if stack else roots).append(node)
+        if stack:
+            stack[-1][1].append(node)
+        else:
+            if root is not None:
+                yield root
+            root = node
         stack.append(node)
-    return roots
+    if root is not None:
+        yield root
 
 
-def skeleton(path: str, source: str, language: str, symbols: list[dict]) -> tuple[str, list[dict]]:
-    """The signatures with a placeholder for each body, members inside of containers, and what the placeholders stand for."""
-    expand: list[dict] = []
+def _in_order(symbols: pa.StructArray) -> Iterator[dict]:
+    """Symbols by start, of one start the longest first, a few thousand of them as Python objects at once."""
+    keys = pa.table({"start": symbols.field("start_byte"), "end": symbols.field("end_byte")})
+    order = pc.sort_indices(keys, [("start", "ascending"), ("end", "descending")])
+    for k in range(0, len(order), 4096):
+        yield from symbols.take(order.slice(k, 4096)).to_pylist()
+
+
+def skeletons(path: str, source: str, language: str, symbols: Iterable[dict]) -> Iterator[tuple[str, list[dict]]]:
+    """The signature of each outermost symbol with a placeholder for its body, members inside of containers, and what the placeholders stand for.
+
+    Symbols come in the order of their starts, of one start the longest first."""
     indented, mark = language in INDENTED, COMMENT.get(language, "//")
 
     def signature(s: dict) -> str:
@@ -68,18 +86,20 @@ def skeleton(path: str, source: str, language: str, symbols: list[dict]) -> tupl
             text = text[:-1].rstrip()
         return text
 
-    def render(node: tuple[dict, list], indent: str) -> str:
+    def render(node: tuple[dict, list], indent: str, expand: list[dict]) -> str:
         s, children = node
         head = indent + signature(s)
         if s["kind"] in CONTAINERS and children:
-            inner = "\n".join(render(c, indent + "  ") for c in children)
+            inner = "\n".join(render(c, indent + "  ", expand) for c in children)
             return f"{head}\n{inner}" if indented else f"{head} {{\n{inner}\n{indent}}}"
         one = short_id(path, s["qualified_name"])
         expand.append({"id": one, "path": path, "name": s["qualified_name"], **{k: s[k] for k in ("start_byte", "end_byte", "start_line", "end_line")}})
         note = f"{mark} … cv:{one}"
         return f"{head}\n{indent}    {note}" if indented else f"{head} {{ {note} }}"
 
-    return "\n\n".join(render(n, "") for n in tree_of(symbols)), expand
+    for root in trees_of(symbols):
+        expand: list[dict] = []
+        yield render(root, "", expand), expand
 
 
 def rendered(parsed: DataFrame, files: DataFrame) -> DataFrame:
@@ -93,14 +113,19 @@ def rendered(parsed: DataFrame, files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                text, expand = skeleton(r["path"], r["full"], r["language"], r["symbols"]) if r["symbols"] else (r["full"], [])
-                rows.append({"path": r["path"], "language": r["language"], "full": r["full"], "skeleton": text, "outline": r["outline"], "expand": expand, "n_symbols": len(r["symbols"] or [])})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=RENDERED)
+            for k in range(b.num_rows):
+                path, language, full, outlined = (b.column(c)[k].as_py() for c in ("path", "language", "full", "outline"))
+                symbols = b.column("symbols")[k].values
+                texts, expand = [], Rows(EXPAND)
+                for text, entries in skeletons(path, full, language, _in_order(symbols)) if symbols is not None else ():
+                    texts.append(text)
+                    for e in entries:
+                        expand.add(e)
+                n = 0 if symbols is None else len(symbols)
+                row = [path, language, full, "\n\n".join(texts) if n else full, outlined]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.string()) for x in row), nested(expand.taken()), pa.array([n], pa.int32())], schema=RENDERED)
 
-    return both.select("path", "language", "full", "outline", "symbols").mapInArrow(run, RENDERED_DDL)
+    return bounded(both.select("path", "language", "full", "outline", "symbols")).mapInArrow(run, RENDERED_DDL)
 
 
 @dataclass(frozen=True)
@@ -218,7 +243,27 @@ def render(packed: Compressed, form: str = "xml", collation: str | None = "UNICO
 
 
 def expanded(entries: DataFrame, files: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """id, name and text of placeholders (all, or those of ids): the part of their file's content that they stand for."""
+    """id, path, name and text of placeholders (all, or those of ids): the part of their file's content that they stand for.
+
+    A file's content meets all of its placeholders at once and is cut in one pass, not once for each of them."""
     wanted = entries if ids is None else entries.join(small_side(ids.select("id")), "id", "left_semi")
-    text = F.substring(F.col("content"), F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte"))
-    return wanted.join(files.select("path", "content"), "path").select("id", "path", "name", text.alias("text"))
+    each = wanted.groupBy("path").agg(F.collect_list(F.struct("id", "name", "start_byte", "end_byte")).alias("all"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                path, content, every = b.column("path")[k].as_py(), b.column("content")[k].as_py(), b.column("all")[k].values
+                rows, size = [], 0
+                for at in range(0, len(every), 4096):
+                    for e in every.slice(at, 4096).to_pylist():
+                        known = content is not None and e["start_byte"] is not None and e["end_byte"] is not None
+                        text = content[e["start_byte"] : e["end_byte"]] if known else None
+                        rows.append({"id": e["id"], "path": path, "name": e["name"], "text": text})
+                        size += len(text or "")
+                        if len(rows) >= 4096 or size >= BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema=TEXTS)
+                            rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=TEXTS)
+
+    return bounded(each.join(files.select("path", "content"), "path").select("path", "content", "all")).mapInArrow(run, "id string, path string, name string, text string")
