@@ -112,3 +112,21 @@ def test_token_counts(spark):
     kept = cache.withColumn("tokens", F.lit(99).cast("bigint")).where("key not like '%:0:%'")
     again, more = counted(frame, "text", "n", VOCABULARY, spark.createDataFrame(kept.collect(), kept.schema))
     assert sorted(r.n for r in again.collect()) == [0, 0, 99, 99, 99, 99] and more.count() == 5
+
+
+def test_placeholders_of_a_long_file_take_time_in_proportion(spark):
+    import time
+
+    n = 60_000
+    content = "".join(f"def é{k:05}(x):\n    return é{k:05}(x)\n\n" for k in range(n))
+    size = len(content) // n
+    entries = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("f.py").alias("path"), F.col("id").cast("string").alias("name"), (F.col("id") * size).cast("int").alias("start_byte"), (F.col("id") * size + size - 2).cast("int").alias("end_byte"))
+    files = spark.createDataFrame([("f.py", content)], "path string, content string")
+    began = time.monotonic()
+    found = packs.expanded(entries, files)
+    want = F.format_string("def é%05d(x):\n    return é%05d(x)", F.col("id").cast("int"), F.col("id").cast("int"))
+    assert found.agg(F.count_if(F.col("text") == want), F.count("*")).first()[:] == (n, n)
+    assert time.monotonic() - began < 20
+    other = spark.createDataFrame([("a", "g.py", "n", None, 3), ("b", "g.py", "m", 2, 1), ("c", "h.py", "o", 0, 1)], "id string, path string, name string, start_byte int, end_byte int")
+    files = spark.createDataFrame([("g.py", "abc"), ("h.py", None)], "path string, content string")
+    assert {r.id: r.text for r in packs.expanded(other, files).collect()} == {"a": None, "b": "", "c": None}
