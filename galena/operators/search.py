@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import occurrences, query_words
 from ..schema import MAX_DEPTH, RRF_K, SEED_NODES
-from ..session import cut, places, small_side
+from ..session import bounded, cut, places, small_side
 from .graph import hops
 from .observe import top_in_file
 from .resolve import overlapping
@@ -23,20 +28,55 @@ def recall_size(top_k: int) -> int:
     return min(3 * top_k, 60)
 
 
+def grams(chunks: DataFrame, body: str = "body") -> DataFrame:
+    """gram and ids: by block of chunks (id, a text of its own) each distinct run of three characters, whatever its case, with the ids of the chunks that hold it.
+
+    A chunk without three characters has none. The runs of a block are numbers, sorted once in Python, so that a row is a
+    run of a block and not one of a chunk."""
+    ids = chunks.schema["id"].dataType
+    arrow = to_arrow_schema(T.StructType([T.StructField("gram", T.StringType()), T.StructField("ids", T.ArrayType(ids))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = b.column("low").to_pylist()
+            size = np.array([len(t) for t in low])
+            codes = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            if len(codes) < 3:
+                continue
+            runs = codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:]
+            chunk = np.repeat(np.arange(len(low), dtype=np.int32), size)
+            inside = chunk[:-2] == chunk[2:]
+            runs, chunk = runs[inside], chunk[:-2][inside]
+            # stable, so the chunks of a run stay in their order and a repeated pair stands beside its like
+            order = np.argsort(runs, kind="stable")
+            runs, chunk = runs[order], chunk[order]
+            first = np.append(True, runs[1:] != runs[:-1])
+            kept = first | np.append(True, chunk[1:] != chunk[:-1])
+            runs, chunk, first = runs[kept], chunk[kept], first[kept]
+            starts = np.flatnonzero(first)
+            each = runs[starts]
+            text = np.stack([each >> np.uint64(42), each >> np.uint64(21) & np.uint64(0x1FFFFF), each & np.uint64(0x1FFFFF)], 1).astype(np.uint32)
+            texts = text.tobytes().decode("utf-32-le")
+            found = pa.ListArray.from_arrays(pa.array(np.append(starts, len(chunk)).astype(np.int32)), b.column("id").take(pa.array(chunk)))
+            yield pa.RecordBatch.from_arrays([pa.array([texts[k : k + 3] for k in range(0, len(texts), 3)], pa.string()), found.cast(arrow.field("ids").type)], schema=arrow)
+
+    return bounded(chunks.where(F.length(body) >= 3).select("id", F.lower(F.col(body)).alias("low"))).mapInArrow(run, f"gram string, ids array<{ids.simpleString()}>")
+
+
 def postings(chunks: DataFrame, body: str = "body") -> DataFrame:
-    """The inverted index: gram and id for each distinct run of three characters of a chunk, whatever its case.
+    """The inverted index: gram and ids of each block of chunks (``grams``).
 
-    Written sorted by gram, the runs of a query read little of it; the sort also splits the most frequent."""
-    low = F.lower(F.col(body))
-    grams = F.regexp_extract_all(low, F.lit("(?s)(?=(...))"), F.lit(1))
-    rows = chunks.where(F.length(body) >= 3).select("id", F.explode(F.array_distinct(grams)).alias("gram"))
-    return rows.select("gram", "id").repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+    Written sorted by gram, the runs of a query read little of it; the blocks split the most frequent."""
+    return grams(chunks, body).repartitionByRange("gram", F.col("ids")[0]).sortWithinPartitions("gram")
 
 
 def _holding(index: DataFrame, words: list[str]) -> DataFrame:
     """id of the chunks that hold every run of three characters of some words: all that can hold the words."""
     grams = sorted({w[i : i + 3] for w in words for i in range(len(w) - 2)})
-    found = index.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("n"))
+    rows = index.where(F.col("gram").isin(grams))
+    if "ids" in index.columns:  # an index that was stored before blocks has a row a chunk
+        rows = rows.select(F.explode("ids").alias("id"))
+    found = rows.groupBy("id").agg(F.count("*").alias("n"))
     return found.where(F.col("n") == len(grams)).select("id")
 
 

@@ -277,6 +277,17 @@ def test_siblings_of_many_nodes_of_one_scope_come_once(spark):
     assert [found(i) for i in "abcden"] == [{"a", "b"}, {"b"}, {"a", "b", "c"}, set(), {"e"}, set()]
 
 
+def test_runs_of_three_characters_are_in_blocks(spark):
+    texts = ["abcABC", "", "ab", None, "xéy😀z😀", "aaaa", "bca"]
+    want = sorted((g, k) for k, t in enumerate(texts) if t for g in {t.lower()[i : i + 3] for i in range(len(t) - 2)})
+    chunks = spark.createDataFrame([(f"{k}", t) for k, t in enumerate(texts)], "id string, body string").coalesce(1)
+    for made in (search.grams(chunks), search.postings(chunks)):
+        assert sorted((r.gram, int(i)) for r in made.collect() for i in r.ids) == want
+    # 2 000 chunks of the same runs: a row a run of a block, not one of a chunk
+    many = spark.range(2_000).coalesce(1).select("id", F.lit("some words of a chunk").alias("body"))
+    assert search.grams(many).count() == 19 and search.grams(many).agg(F.sum(F.size("ids"))).first()[0] == 38_000
+
+
 def test_places_over_several_ranges(spark):
     from galena.session import places
 
