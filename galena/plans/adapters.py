@@ -42,9 +42,11 @@ def nodes(spark: SparkSession, sf_dir: str, pagerank: DataFrame | None = None) -
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source and target: a line of an order and the next one, each as often as it occurs."""
-    every = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    after = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    """source and target: a line of an order and the next one, each as often as it occurs.
+
+    Lines of one number and part make the same links in any order, so supplier and quantity, which the SQL orders by, need not be shuffled."""
+    every = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
     return every.select(F.col("l_partkey").alias("source"), after.alias("target"), F.col("l_linenumber").alias("line"), "l_orderkey").where("target is not null")
 
 

@@ -41,6 +41,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_by(df: DataFrame, *columns: str) -> DataFrame:
+    """``cut`` of ``df`` in the shuffle's partitions of ``columns`` and sorted by them, so that joins and sums by these shuffle and sort it no more.
+
+    An adaptive plan doesn't tell how its rows lie, so this one is planned without."""
+    conf = df.sparkSession.conf
+    adaptive, n = conf.get("spark.sql.adaptive.enabled"), int(conf.get("spark.sql.shuffle.partitions"))
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(n, *columns).sortWithinPartitions(*columns))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """``df``, whose rows go to Python in Arrow batches of at most ``BATCH_BYTES`` (a longer text is a batch of its own).
 

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.resolve import innermost
+from ..session import cut, small_side
 
 DEFINITION = 1
 SINGLE_LINE, MULTI_LINE = 8, 9
@@ -220,10 +221,11 @@ def import_rows(each: DataFrame, related: DataFrame, counted: DataFrame, nodes:
 
     pending = by_relation.unionByName(by_occurrence).where("source is not null").withColumn("target_name", symbol_name(F.col("target_symbol")))
     pending = pending.where("target_name <> ''").join(_targets(nodes), "target_name")
-    new = pending.groupBy("source", "target", "line").agg(F.min(F.struct("doc", "file_path"))["file_path"].alias("file_path"))
+    # written, as the new edges are needed themselves, by file and for their number
+    new = cut(pending.groupBy("source", "target", "line").agg(F.min(F.struct("doc", "file_path"))["file_path"].alias("file_path")))
     covered = new.select("file_path").distinct()
-    inside = nodes.join(covered, "file_path", "left_semi").select(F.col("id").alias("source"), F.lit(True).alias("covered"))
-    marked = edges.join(inside, "source", "left").withColumn("gone", F.coalesce("covered", F.lit(False)) & (F.col("provenance") == "heuristic"))
+    inside = nodes.join(small_side(covered), "file_path", "left_semi").select(F.col("id").alias("source"), F.lit(True).alias("covered"))
+    marked = edges.join(small_side(inside), "source", "left").withColumn("gone", F.coalesce("covered", F.lit(False)) & (F.col("provenance") == "heuristic"))
     kept = marked.where(~F.col("gone")).select(edges.columns)
     made = new.select("source", "target", F.lit("calls").alias("kind"), F.col("line").cast("int").alias("line"), F.lit("scip").alias("provenance"))
     stats = counted.crossJoin(made.agg(F.count("*").alias("edges_inserted"))).crossJoin(marked.agg(F.count_if("gone").alias("edges_replaced")))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from galena.session import cut_by
 from galena.sources import scip
 
 NODES = "id string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, start_byte int, end_byte int"
@@ -135,3 +136,13 @@ def test_many_references_from_one_line(spark):
     assert {(r.source, r.target, r.line) for r in found.edges.collect()} == want
     assert found.stats.first()[:] == (1, 90_000, 0, 55, 30_000)
     assert time.monotonic() - began < 60
+
+
+def test_links_kept_by_source_are_not_shuffled_again(spark, capsys):
+    links = cut_by(spark.range(10_000).select((F.col("id") % 100).alias("source"), "id"), "source")
+    ends = spark.range(100).select(F.col("id").alias("source"))
+    links.join(ends.hint("merge"), "source").groupBy("source").count().explain()
+    # only the other side is
+    assert capsys.readouterr().out.count("Exchange") == 1
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert [r["count"] for r in links.groupBy("source").count().collect()] == [100] * 100
