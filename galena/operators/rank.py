@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_by
 from .resolve import with_ends
 
 
@@ -43,18 +43,18 @@ def weighted(nodes: DataFrame, edges: DataFrame, private: Column | None = None,
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon: float = 1e-6, max_iterations: int = 100, private: Column | None = None, files: int = 5) -> Ranking:
     """Ranks by power iteration until the ranks change by less than ``epsilon`` together.
 
-    Edges with weights below 1 / out-degree let mass go, and it isn't made up for. Each step joins the edges, written once
-    by source, with the ranks, sums by target, and is written to the shared folder.
+    Edges with weights below 1 / out-degree let mass go, and it isn't made up for. The edges are written once by source and
+    the ranks lie by id, so a step shuffles only its sums by target, and is written to the shared folder.
     """
     names = cut(nodes.select("id", "name", "file_path"))
     n = names.count()
     if not n:
         return Ranking(names.select("id", F.lit(0.0).alias("pagerank")), 0, True, 0, 0)
-    flow = cut(weighted(names, edges, private, files).repartition("source"))
+    flow = cut_by(weighted(names, edges, private, files), "source")
     edge_count = flow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     flow = flow.drop("n")
     dangling = cut(names.select("id").join(flow.select(F.col("source").alias("id")).distinct(), "id", "left_anti")).withColumn("dangling", F.lit(True))
-    ranks = cut(names.select("id").join(dangling, "id", "left").select("id", F.coalesce("dangling", F.lit(False)).alias("dangling"), F.lit(1.0 / n).alias("pagerank")))
+    ranks = cut_by(names.select("id").join(dangling, "id", "left").select("id", F.coalesce("dangling", F.lit(False)).alias("dangling"), F.lit(1.0 / n).alias("pagerank")), "id")
     converged, done = False, 0
     if not edge_count:
         return Ranking(ranks.select("id", "pagerank"), 1, True, n, 0)
@@ -63,7 +63,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon:
         inflow = flow.join(ranks.select(F.col("id").alias("source"), "pagerank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("pagerank") * F.col("weight")).alias("inflow"))
         base = (1 - damping) / n + damping * loose / n
         step = ranks.join(inflow, "id", "left").select("id", "dangling", F.col("pagerank").alias("old"), (F.lit(base) + damping * F.coalesce("inflow", F.lit(0.0))).alias("pagerank"))
-        step = cut(step)
+        step = cut_by(step, "id")
         change, loose = step.agg(F.sum(F.abs(F.col("pagerank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0))).first()
         ranks = step.drop("old")
         if change < epsilon:

@@ -301,3 +301,17 @@ def test_line_windows_take_time_in_proportion(spark):
     frame = spark.createDataFrame([(text_of(20_000),)], "t string")
     found = frame.select(F.explode(text.line_windows(F.col("t"), 64)).alias("w")).select("w.*").collect()
     assert "\n".join(r.body for r in found) == text_of(20_000) and all(len(r.body) + 1 >= 64 for r in found[:-1])
+
+
+def test_a_step_of_pagerank_shuffles_its_sums_alone(spark, monkeypatch):
+    plans = []
+
+    def seen(df, *columns, cut_by=rank.cut_by):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return cut_by(df, *columns)
+
+    monkeypatch.setattr(rank, "cut_by", seen)
+    nodes = spark.range(50).select("id", F.col("id").cast("string").alias("name"), F.lit("f").alias("file_path"))
+    edges = spark.range(200).select((F.col("id") % 40).alias("source"), (F.col("id") * 7 % 50).alias("target"), F.lit("calls").alias("kind"))
+    rank.pagerank(nodes, edges, epsilon=0.0, max_iterations=2)
+    assert plans[2:] == [1, 1]
