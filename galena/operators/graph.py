@@ -49,23 +49,24 @@ def resolve_id(nodes: DataFrame, name: str) -> str | int:
 
 
 def scope(qualified: Column) -> Column:
-    """What stands before the last ``::``, with it and without the case of ASCII letters; empty without one."""
-    return ascii_lower(F.regexp_extract(qualified, r"^((?s:.*)::)", 1))
+    """What stands before the last ``::``, with it; empty without one."""
+    return F.regexp_extract(qualified, r"^((?s:.*)::)", 1)
 
 
 def siblings(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """sibling and k: once each symbol of the same file below the scope of any of the nodes ``of`` (id, k), itself and nested ones too, with the least k of these.
 
-    A node outside any scope has none. Case of ASCII letters doesn't count. A symbol meets the scopes that its own name
-    begins with, each once however many nodes are in it.
+    A node outside any scope has none. Case of ASCII letters doesn't count. Scopes meet, each once however many symbols are
+    in it: what is below a scope is so because its own scope is that one or begins with it.
     """
-    own = nodes.join(of.select("id", "k"), "id").select("file_path", scope(F.col("qualified_name")).alias("scope"), "k").where("scope <> ''")
-    own = cut(own.groupBy("file_path", "scope").agg(F.min("k").alias("k")))
-    qn = ascii_lower(F.col("qualified_name"))
-    ends = F.filter(F.sequence(F.lit(2), F.length(qn)), lambda i: F.substring(qn, i - 1, F.lit(2)) == "::")
-    around = F.transform(ends, lambda i: F.substring(qn, F.lit(1), i))
-    other = nodes.where(F.contains("qualified_name", F.lit("::"))).select(F.col("id").alias("sibling"), "file_path", F.explode(around).alias("scope"))
-    return other.join(small_side(own), ["file_path", "scope"]).groupBy("sibling").agg(F.min("k").alias("k"))
+    inside = nodes.select("id", "file_path", scope(F.col("qualified_name")).alias("own")).where("own <> ''")
+    low = ascii_lower(F.col("own"))
+    changed = cut(inside.join(of.select("id", "k"), "id").groupBy("file_path", low.alias("scope")).agg(F.min("k").alias("k")))
+    ends = F.filter(F.sequence(F.lit(2), F.length(low)), lambda i: F.substring(low, i - 1, F.lit(2)) == "::")
+    around = F.transform(ends, lambda i: F.substring(low, F.lit(1), i))
+    scopes = inside.select("file_path", "own").distinct().select("file_path", "own", F.explode(around).alias("scope"))
+    below = cut(scopes.join(small_side(changed), ["file_path", "scope"]).groupBy("file_path", "own").agg(F.min("k").alias("k")))
+    return inside.withColumnRenamed("id", "sibling").join(small_side(below), ["file_path", "own"]).groupBy("sibling").agg(F.min("k").alias("k"))
 
 
 def walk(edges: DataFrame, start: str | int | DataFrame, depth: int, reverse: bool = True, cap: int | None = LAYER_CAP, nodes: DataFrame | None = None) -> Walk:

@@ -315,3 +315,13 @@ def test_a_step_of_pagerank_shuffles_its_sums_alone(spark, monkeypatch):
     edges = spark.range(200).select((F.col("id") % 40).alias("source"), (F.col("id") * 7 % 50).alias("target"), F.lit("calls").alias("kind"))
     rank.pagerank(nodes, edges, epsilon=0.0, max_iterations=2)
     assert plans[2:] == [1, 1]
+
+
+def test_siblings_take_each_scope_apart_once(spark):
+    names = ["A::B::x", "a::b::C::y", "A::z", "A:::w", "AB::v", "b::A::u", "plain"]
+    nodes = spark.createDataFrame([(k, "f", f"f.{k % 2}" if k > 6 else "f", n) for k, n in enumerate(names * 2)], "id long, kind string, file_path string, qualified_name string")
+    found = graph.siblings(nodes, nodes.where("id in (0, 4, 6)").withColumn("k", F.col("id")))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # the names of the scopes, not of the symbols
+    assert {(r.sibling, r.k) for r in found.collect()} == {(0, 0), (1, 0), (4, 4)}
+    found = graph.siblings(nodes, nodes.where("id = 2").withColumn("k", F.lit(1)))
+    assert {(r.sibling, r.k) for r in found.collect()} == {(0, 1), (1, 1), (2, 1), (3, 1)}
