@@ -94,7 +94,7 @@ class Engine:
         return parse.parse_files(self._sources())
 
     def _parsed(self, sources: DataFrame) -> tuple[DataFrame, list[str]]:
-        """The parsed files, those of unchanged content from the cache, and the first changed paths in order."""
+        """The parts of the parsed files, those of unchanged content from the cache, and the first changed paths in order."""
         cache = self._open().side("parse_cache")
         parsed, told = parse.parse_cached(sources, cache)
         parsed = cut(parsed)
@@ -102,13 +102,13 @@ class Engine:
         hits = told.where("hit").count()
         total = told.count()
         self.cache_stats = {"hits": hits, "misses": total - hits, "total": total}
-        if cache is None or total > hits or cache.count() != total:
+        if cache is None or "part" not in cache.columns or total > hits or cache.where("part = 0").count() != total:
             self.store.write_side("parse_cache", parsed)
         return parsed, [r.path for r in told.where("not hit").orderBy("path").limit(CHANGED_LISTED).collect()]
 
     def token_report(self) -> tuple[DataFrame, int, DataFrame]:
         """Tokens by file, their total and the treemap; works without an index."""
-        chunks = self.parse().select(F.explode("chunks").alias("c"), F.col("path").alias("file_path")).select("file_path", "c.body")
+        chunks = parse.parse_parts(self._sources(), ["chunks"]).select(F.explode("chunks").alias("c"), F.col("path").alias("file_path")).select("file_path", "c.body")
         told, cache = counted(chunks, "body", "token_count", self.vocabulary, self._open().side("token_cache"))
         by_file = cut(observe.tokens_by_file(cut(told)))
         self.store.write_side("token_cache", cache)
@@ -134,7 +134,7 @@ class Engine:
         return replace(stats, duration_ms=took)
 
     def tables(self, sources: DataFrame, parsed: DataFrame) -> tuple[dict[str, DataFrame], dict[str, int]]:
-        """The tables of the index of parsed files, and how many nodes, chunks and resolved and unresolved references they have."""
+        """The tables of the index of the parts of parsed files, and how many nodes, chunks and resolved and unresolved references they have."""
         now = F.current_timestamp()
         symbols = parsed.select("language", F.col("path").alias("file_path"), F.explode("symbols").alias("s"))
         nodes = cut(symbols.select("s.id", "s.kind", "s.name", "s.qualified_name", "file_path", "language", "s.start_line", "s.end_line", "s.start_byte", "s.end_byte", "s.signature", "s.docstring", F.lit(None).cast("string").alias("visibility"), F.lit(0.0).alias("pagerank"), now.alias("updated_at")))
@@ -150,7 +150,7 @@ class Engine:
         edges, told = resolve.resolve(refs, nodes)
         edges = cut(resolve.numbered(edges))
         per_file = nodes.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("node_count"))
-        listed = parsed.select("path", "parse_status").join(sources.select("path", "language", "size", "git_blob_hash", F.md5("content").alias("content_hash")), "path").join(per_file, "path", "left")
+        listed = parsed.where("part = 0").select("path", "parse_status").join(sources.select("path", "language", "size", "git_blob_hash", F.md5("content").alias("content_hash")), "path").join(per_file, "path", "left")
         listed = listed.withColumns({"node_count": F.coalesce("node_count", F.lit(0)), "indexed_at": now})
         stats = told.first()
         counts = {"nodes": nodes.count(), "chunks": chunks.count(), "resolved": stats.resolved, "unresolved": stats.unresolved}
@@ -161,7 +161,7 @@ class Engine:
         sources = self._sources()
         some = self.spark.createDataFrame([(p,) for p in changed], "path string")
         fresh = sources.join(small_side(some), "path", "left_semi")
-        new, _ = self.tables(fresh, parse.parse_files(fresh))
+        new, _ = self.tables(fresh, parse.parse_parts(fresh))
         old = pruned(self._open().tables(), sources)
         every = {n: merged(old[n], new[n].select(old[n].columns), some.withColumnRenamed("path", k), k) for n, k in (("nodes", "file_path"), ("chunks", "file_path"), ("files", "path"), ("unresolved_refs", "file_path"))}
         edges = resolve.with_ends(old["edges"].join(small_side(new["nodes"].select(F.col("id").alias("source"))), "source", "left_anti").select(old["edges"].columns), every["nodes"])
@@ -272,7 +272,7 @@ class Engine:
         else:
             parsed, _ = self._parsed(sources)
         ranks = observe.file_importance(self._table("nodes")).withColumnRenamed("file_path", "path") if self.store.exists() else None
-        packed = packs.compress(cut(packs.rendered(parsed, sources)), ranks, budget, strategy, always_full, self.vocabulary)
+        packed = packs.compress(cut(packs.rendered(parse.whole_files(parsed), sources)), ranks, budget, strategy, always_full, self.vocabulary)
         packed = replace(packed, files=cut(packed.files), expand=cut(packed.expand))
         counts = packs.layer_counts(packed.files).first().asDict()
         made = Pack(packs.render(packed, form), packed, counts)
